@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 
@@ -231,6 +232,7 @@ def _on_worker(ranks_bytes, pattern: str, held: dict = {}) -> tuple[Encoder, dic
     key = (ranks_bytes.id if hasattr(ranks_bytes, "id") else id(ranks_bytes), pattern)
     if key not in held:
         held.clear()
+        gc.set_threshold(200_000, 50, 1000)  # tables of many small objects that last
         ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, ranks_bytes.value.splitlines())}
         held[key] = Encoder(ranks, pattern), {str(r): t for t, r in ranks.items()}
     return held[key]

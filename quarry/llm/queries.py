@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.llm.bpe import bpe_digests
 from quarry.llm.shared import table
 from quarry.llm.simhash import simhash_groups
 
@@ -12,8 +13,13 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op3_bpe": op3_bpe,
 }
 
 #: DuckDB SQL, for the queries that SQL can express.
