@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm.bpe import bpe_digests
+from quarry.llm.langid import predict_languages
+from quarry.llm.secrets import secret_spans
 from quarry.llm.shared import table
 from quarry.llm.simhash import simhash_groups
 
@@ -17,9 +19,19 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(spark, table(spark, sf_dir, "documents"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(table(spark, sf_dir, "documents"))
+
+
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_languages(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_bpe": op3_bpe,
+    "op7_secrets": op7_secrets,
+    "op9_langid": op9_langid,
 }
 
 #: DuckDB SQL, for the queries that SQL can express.
