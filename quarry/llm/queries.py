@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm.bpe import bpe_digests
 from quarry.llm.langid import predict_languages
+from quarry.llm.pii import pii_spans
 from quarry.llm.secrets import secret_spans
 from quarry.llm.shared import table
 from quarry.llm.simhash import simhash_groups
@@ -19,6 +20,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(spark, table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_spans(table(spark, sf_dir, "documents"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir, "documents"))
 
@@ -30,6 +35,7 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_bpe": op3_bpe,
+    "op5_pii": op5_pii,
     "op7_secrets": op7_secrets,
     "op9_langid": op9_langid,
 }

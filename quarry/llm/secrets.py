@@ -78,9 +78,12 @@ def scan_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     text counts as empty and has none; texts are scanned whole; rows are independent. Long runs of any
     character are safe: no pattern recurses or rescans a run.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    assign = F.filter(S.find(t, ASSIGN, t.rlike("(?i:passw|secret|token|api_?key)"), 2), lambda s: F.length(s["part"]) >= 8)
-    out = docs.withColumn("__assign", assign).withColumn("__access", S.find(t, ACCESS, t.contains("AKIA"))).withColumn("__hex", S.find(t, HEX, t.rlike(HEX))).withColumn("__run", S.find(t, RUN, t.rlike(RUN)))
+    t = F.col(text)
+    out = S.find(docs, "__assign", text, ASSIGN, t.rlike("(?i:passw|secret|token|api_?key)"), group=2)
+    out = S.find(out, "__access", text, ACCESS, t.contains("AKIA"))
+    out = S.find(out, "__hex", text, HEX, t.rlike(HEX))
+    out = S.find(out, "__run", text, RUN, t.rlike(RUN))
+    out = out.withColumn("__assign", F.filter("__assign", lambda s: F.length(s["part"]) >= 8))
     out = out.withColumn("base", F.concat(*[S.of_kind(F.col(f"__{k}"), i) for i, k in enumerate(KINDS[:3])]))
     high = F.filter(S.apart(F.col("__run"), F.col("base")), lambda s: high_entropy(s["hit"]))
     return out.withColumn("more", S.of_kind(high, 3)).drop("__assign", "__access", "__hex", "__run")

@@ -2,25 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPAN = "array<struct<start:int,stop:int,hit:string,part:string,before:string,after:string>>"
+#: Matches whose places are summed in one go; longer lists are summed by blocks, so the work stays linear.
+BLOCK = 256
 
 
-def find(text: Column, pattern: str, only: Column, group: int = 0, sides: bool = False) -> Column:
-    """All leftmost non-overlapping matches where `only` holds, else none: start, stop, hit, part (a group).
+def find(df: DataFrame, name: str, text: str, pattern: str, only: Column, group: int = 0, sides: bool = False) -> DataFrame:
+    """Add column `name`: all leftmost non-overlapping matches in `text` where `only` holds, else none.
 
-    The text between the matches comes from split(), so starts are running sums of lengths in code points.
-    sides: also the text between a match and its neighbours, as before and after.
+    Each has start and stop in code points, hit, part (a group) and, with sides, the text before and after it
+    up to the next match. The text between the matches comes from split(), so starts are running sums of
+    lengths. A null text has no matches.
     """
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
-    parts = F.regexp_extract_all(text, F.lit(pattern), group) if group else hits
+    t, rows = F.col(text), f"__{name}_rows"
+    gaps, hits = F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(pattern), 0)
     gone = F.lit(None).cast("string")
-    rows = F.zip_with(F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit"))), parts, lambda x, p: F.struct(x["gap"].alias("gap"), x["hit"].alias("hit"), p.alias("part")))
-    after = (lambda i: F.get(gaps, i + 1)) if sides else (lambda i: gone)
-    rows = F.transform(rows, lambda x, i: F.struct(x["gap"].alias("gap"), x["hit"].alias("hit"), x["part"].alias("part"), after(i).alias("after")))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    made = F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit"), h.alias("part"), gone.alias("after")))
+    if group:
+        parts = F.regexp_extract_all(t, F.lit(pattern), group)
+        made = F.zip_with(made, parts, lambda x, p: F.struct(x["gap"].alias("gap"), x["hit"].alias("hit"), p.alias("part"), x["after"].alias("after")))
+    if sides:
+        made = F.zip_with(made, F.slice(gaps, 2, (1 << 31) - 1), lambda x, a: F.struct(x["gap"].alias("gap"), x["hit"].alias("hit"), x["part"].alias("part"), a.alias("after")))
+    made = F.when(only, F.filter(made, lambda x: x["hit"].isNotNull()))
+    df = df.withColumn(rows, made)
+    empty = F.array().cast(SPAN)
+
+    def shifted(span, by):
+        return F.struct((span["start"] + by).alias("start"), (span["stop"] + by).alias("stop"), span["hit"].alias("hit"), span["part"].alias("part"), span["before"].alias("before"), span["after"].alias("after"))
 
     def step(state, x):
         start = state["at"] + F.length(x["gap"])
@@ -28,8 +39,17 @@ def find(text: Column, pattern: str, only: Column, group: int = 0, sides: bool =
         span = F.struct(start.alias("start"), stop.alias("stop"), x["hit"].alias("hit"), x["part"].alias("part"), (x["gap"] if sides else gone).alias("before"), x["after"].alias("after"))
         return F.struct(stop.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
 
-    found = F.aggregate(F.filter(rows, lambda x: x["hit"].isNotNull()), begin, step, lambda state: state["out"])
-    return F.when(only, found).otherwise(F.array().cast(SPAN))
+    def within(block):
+        return F.aggregate(block, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)
+
+    def over(state, x):
+        moved = F.transform(x["out"], lambda s: shifted(s, state["at"]))
+        return F.struct((state["at"] + x["at"]).alias("at"), F.concat(state["out"], F.array(moved)).alias("out"))
+
+    n = F.size(rows)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda b: within(F.slice(F.col(rows), b * BLOCK + 1, BLOCK)))
+    found = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out")), over, lambda state: F.flatten(state["out"]))
+    return df.withColumn(name, F.when(n > 0, found).otherwise(empty)).drop(rows)
 
 
 def joined(spans: Column, order: list[str], by_kind: bool) -> Column:
