@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm.bpe import bpe_digests
+from quarry.llm.decontam import find_leaks
 from quarry.llm.langid import predict_languages
 from quarry.llm.pii import pii_spans
 from quarry.llm.secrets import secret_spans
@@ -28,6 +29,10 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(table(spark, sf_dir, "documents"))
 
@@ -37,6 +42,7 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op5_pii": op5_pii,
     "op7_secrets": op7_secrets,
+    "op8_decontam": op8_decontam,
     "op9_langid": op9_langid,
 }
 
