@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quarry.llm.bpe import bpe_digests
 from quarry.llm.decontam import find_leaks
 from quarry.llm.langid import predict_languages
+from quarry.llm.ngram_lm import lm_scores
 from quarry.llm.pii import pii_spans
 from quarry.llm.secrets import secret_spans
 from quarry.llm.shared import table
@@ -37,6 +38,10 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(table(spark, sf_dir, "documents"))
 
 
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_bpe": op3_bpe,
@@ -44,6 +49,7 @@ QUERIES = {
     "op7_secrets": op7_secrets,
     "op8_decontam": op8_decontam,
     "op9_langid": op9_langid,
+    "op10_lm": op10_lm,
 }
 
 #: DuckDB SQL, for the queries that SQL can express.
