@@ -12,12 +12,19 @@ from quarry.llm.pii import pii_spans
 from quarry.llm.secrets import secret_spans
 from quarry.llm.shared import table
 from quarry.llm.simhash import simhash_groups
+from quarry.llm.urls import judge_urls
+from quarry.llm.warc import ORACLE as WARC_ORACLE
+from quarry.llm.warc import warc_round_trip
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(spark, table(spark, sf_dir, "pages"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(spark, table(spark, sf_dir, "documents"))
 
@@ -26,6 +33,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_spans(table(spark, sf_dir, "documents"))
 
 
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir, "documents"))
 
@@ -44,8 +55,10 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_warc": op2_warc,
     "op3_bpe": op3_bpe,
     "op5_pii": op5_pii,
+    "op6_urls": op6_urls,
     "op7_secrets": op7_secrets,
     "op8_decontam": op8_decontam,
     "op9_langid": op9_langid,
@@ -53,4 +66,4 @@ QUERIES = {
 }
 
 #: DuckDB SQL, for the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_warc": WARC_ORACLE}
