@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.llm.ann import nearest
 from quarry.llm.bpe import bpe_digests
 from quarry.llm.decontam import find_leaks
 from quarry.llm.langid import predict_languages
@@ -29,6 +30,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(spark, table(spark, sf_dir, "documents"))
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest(rows, rows.where("vec_id % 20 = 0"), 20)
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_spans(table(spark, sf_dir, "documents"))
 
@@ -57,6 +63,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_warc": op2_warc,
     "op3_bpe": op3_bpe,
+    "op4_ann": op4_ann,
     "op5_pii": op5_pii,
     "op6_urls": op6_urls,
     "op7_secrets": op7_secrets,
