@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-NAME = "'sym_' || CAST({0} % 997 AS STRING)"
+NAME = "CASE WHEN {0} % 7 = 3 THEN 'only_' || CAST({0} AS STRING) ELSE 'sym_' || CAST({0} % 997 AS STRING) END"
+#: The names that unresolved references write: some of them stand for many symbols, some for one, some for none.
+SAID = "CASE WHEN {0} % 7 = 3 THEN 'only_' || CAST({0} AS STRING) ELSE 'sym_' || CAST({0} % 300 AS STRING) END"
 
 CTES = {
     "symbols": f"""
 SELECT o_orderkey AS id, o_orderkey DIV 10 AS file_id, {NAME.format("o_orderkey")} AS name,
        'crate::m' || CAST((o_orderkey DIV 10) % 40 AS STRING) AS module_path,
-       CASE WHEN o_orderkey % 10 BETWEEN 1 AND 3 THEN {NAME.format("(o_orderkey - o_orderkey % 10)")} || '::' ELSE '' END || {NAME.format("o_orderkey")} AS qualified_name,
+       CASE WHEN o_orderkey % 10 BETWEEN 1 AND 3 THEN ({NAME.format("(o_orderkey - o_orderkey % 10)")}) || '::' ELSE '' END || ({NAME.format("o_orderkey")}) AS qualified_name,
        CASE o_orderpriority WHEN '1-URGENT' THEN 'function' WHEN '2-HIGH' THEN 'method' WHEN '3-MEDIUM' THEN 'struct' WHEN '4-NOT SPECIFIED' THEN 'trait' ELSE 'struct_field' END AS kind,
        CAST(o_orderkey % 10 * 10 + 1 AS INT) AS line, CAST(o_orderkey % 10 * 10 + 10 AS INT) AS end_line,
        CASE o_orderstatus WHEN 'O' THEN 'public' WHEN 'F' THEN 'private' ELSE 'crate' END AS visibility,
@@ -31,14 +33,14 @@ FROM lineitem""",
 SELECT in_symbol_id, in_symbol_id DIV 10 AS file_id, CAST(in_symbol_id % 10 * 10 + 1 + n AS INT) AS line,
        CASE n WHEN 1 THEN 'call' WHEN 2 THEN 'type' WHEN 3 THEN 'construct' WHEN 4 THEN 'inherit' WHEN 5 THEN 'field_access' WHEN 6 THEN 'value' ELSE 'call' END AS kind,
        CASE WHEN ok THEN tgt END AS symbol_id,
-       CASE WHEN NOT ok THEN CASE WHEN p % 40 = 0 THEN 'Option::unwrap' WHEN p % 40 = 1 THEN 'expect' WHEN p % 3 = 0 THEN {NAME.format("(p - p % 10)")} || '::' || {NAME.format("p")} WHEN p % 3 = 1 THEN 'm' || CAST(p % 40 AS STRING) || '::' || {NAME.format("p")} ELSE {NAME.format("p")} END END AS reference_name,
+       CASE WHEN NOT ok THEN CASE WHEN p % 40 = 0 THEN 'Option::unwrap' WHEN p % 40 = 1 THEN 'expect' WHEN p % 3 = 0 THEN ({NAME.format("(p - p % 10)")}) || '::' || ({NAME.format("p")}) WHEN p % 3 = 1 THEN 'm' || CAST(p % 40 AS STRING) || '::' || ({SAID.format("p")}) ELSE {SAID.format("p")} END END AS reference_name,
        CASE WHEN ok THEN CASE s WHEN 0 THEN 'same_file' WHEN 1 THEN 'explicit_import' WHEN 2 THEN 'glob_import' WHEN 3 THEN 'import_union' WHEN 4 THEN 'qualified_exact' WHEN 5 THEN 'same_crate' WHEN 6 THEN 'unique_workspace' WHEN 7 THEN 'qualified_module_fallback' ELSE 'lsp' END END AS strategy
 FROM (SELECT in_symbol_id, p, n, s, tgt, flag <> 'R' AND tgt >= 0 AND tgt <= (SELECT max(o_orderkey) FROM orders) AS ok FROM sites) AS x""",
     "imports": f"""
-SELECT DISTINCT l_orderkey DIV 10 AS file_id, CASE WHEN l_partkey % 4 = 0 THEN '*' ELSE {NAME.format("l_partkey")} END AS symbol_name,
-       'pkg_' || CAST(l_suppkey % 50 AS STRING) || '::m' || CAST(l_partkey % 40 AS STRING) AS source_module,
+SELECT DISTINCT l_orderkey DIV 10 AS file_id, CASE WHEN l_partkey % 4 = 0 THEN '*' ELSE {SAID.format("l_partkey")} END AS symbol_name,
+       'pkg_' || CAST((l_orderkey DIV 10 - l_suppkey % 12) DIV 6 AS STRING) || '::m' || CAST((l_orderkey DIV 10 - l_suppkey % 12) % 40 AS STRING) AS source_module,
        CASE WHEN l_partkey % 11 = 0 THEN 'alias_' || CAST(l_partkey % 97 AS STRING) END AS alias
-FROM lineitem WHERE l_linenumber = 5""",
+FROM lineitem WHERE l_linenumber IN (5, 6) AND l_orderkey DIV 10 >= 12""",
     "attributes": """
 SELECT o_orderkey AS symbol_id, CASE WHEN o_custkey % 2 = 0 THEN 'deprecated' ELSE 'Obsolete' END AS name,
        CASE WHEN o_custkey % 2 = 0 THEN 'since = "1.' || CAST(o_custkey % 7 AS STRING) || '", note = "use another"' ELSE '"use another", true' END AS args

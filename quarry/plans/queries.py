@@ -20,7 +20,7 @@ from quarry.plans.runtime import settled
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-ROOT, LEAF = 300, 30
+ROOT, LEAF = 315, 30
 CHAIN = (60, 2)
 
 
@@ -147,7 +147,7 @@ def _paths(p, src, dst, depth):
 
 
 def _reach_sql(src, dst, depth):
-    return " SELECT CAST(w.node AS BIGINT) AS id, CAST(min(w.depth) AS INT) AS depth, CAST(min(w.depth) + 1 AS INT) AS hops FROM walk w WHERE w.node <> 300 GROUP BY w.node", _walk("call_edges", src, dst, f"SELECT CAST({ROOT} AS BIGINT), 0", depth)
+    return " SELECT CAST(w.node AS BIGINT) AS id, CAST(min(w.depth) AS INT) AS depth, CAST(min(w.depth) + 1 AS INT) AS hops FROM walk w WHERE w.node <> 315 GROUP BY w.node", _walk("call_edges", src, dst, f"SELECT CAST({ROOT} AS BIGINT), 0", depth)
 
 
 @query(*_reach_sql("caller_symbol_id", "callee_symbol_id", 6))
@@ -247,9 +247,9 @@ def symbol_containing_line(p):
     return L.innermost_symbol(p.symbols, p.refs)
 
 
-@query(" SELECT DISTINCT r.file_id, r.line, s.id AS symbol_id FROM refs r JOIN symbols s ON s.file_id = r.file_id AND r.line = s.line")
+@query(" SELECT DISTINCT r.file_id, s.line, s.id AS symbol_id FROM refs r JOIN symbols s ON s.file_id = r.file_id AND r.line - 3 = s.line")
 def symbol_at_line(p):
-    return L.symbol_at_line(p.symbols, p.refs)
+    return L.symbol_at_line(p.symbols, p.refs.withColumn("line", F.col("line") - 3))
 
 
 @query(" SELECT d.to_file_id AS file_id, f.path, d.ref_count FROM file_deps d LEFT JOIN files f ON f.id = d.to_file_id WHERE d.from_file_id = 60")
@@ -371,21 +371,21 @@ FROM ({DEAD}) d JOIN (SELECT item_id, lower(regexp_extract(text, '([A-Za-z]{{4,}
 
 
 def _hierarchy(p, direction):
-    return G.type_hierarchy("sym_300", direction, p.refs, p.symbols, 8).select("symbol_id", "name", F.col("depth").cast("int").alias("depth"))
+    return G.type_hierarchy("sym_395", direction, p.refs, p.symbols, 8).select("symbol_id", "name", F.col("depth").cast("int").alias("depth"))
 
 
 BOX = "(SELECT id FROM symbols WHERE kind IN ('struct', 'trait'))"
 INHERIT = f"(SELECT r.in_symbol_id AS sub, r.symbol_id AS super, r.reference_name FROM refs r WHERE r.kind = 'inherit' AND r.in_symbol_id IN {BOX})"
-ROOTS = "SELECT id, 0 FROM symbols WHERE name = 'sym_300' AND kind IN ('struct', 'trait')"
+ROOTS = "SELECT id, 0 FROM symbols WHERE name = 'sym_395' AND kind IN ('struct', 'trait')"
 
 
-@query(f""" SELECT w.node AS symbol_id, s.name, CAST(min(w.depth) AS INT) AS depth FROM walk w JOIN symbols s ON s.id = w.node WHERE w.node NOT IN (SELECT id FROM symbols WHERE name = 'sym_300' AND kind IN ('struct', 'trait')) GROUP BY w.node, s.name
+@query(f""" SELECT w.node AS symbol_id, s.name, CAST(min(w.depth) AS INT) AS depth FROM walk w JOIN symbols s ON s.id = w.node WHERE w.node NOT IN (SELECT id FROM symbols WHERE name = 'sym_395' AND kind IN ('struct', 'trait')) GROUP BY w.node, s.name
 UNION ALL SELECT NULL, i.reference_name, CAST(min(w.depth) + 1 AS INT) FROM (SELECT node, min(depth) AS depth FROM walk GROUP BY node) w JOIN {INHERIT} i ON i.sub = w.node WHERE i.super IS NULL AND i.reference_name IS NOT NULL AND w.depth < 8 GROUP BY i.reference_name""", f"walk(node, depth) AS ({ROOTS} UNION SELECT i.super, w.depth + 1 FROM walk w JOIN {INHERIT} i ON i.sub = w.node WHERE i.super IS NOT NULL AND w.depth < 8)")
 def type_hierarchy_up(p):
     return _hierarchy(p, "up")
 
 
-@query(" SELECT w.node AS symbol_id, s.name, CAST(min(w.depth) AS INT) AS depth FROM walk w JOIN symbols s ON s.id = w.node WHERE w.node NOT IN (SELECT id FROM symbols WHERE name = 'sym_300' AND kind IN ('struct', 'trait')) GROUP BY w.node, s.name", f"walk(node, depth) AS ({ROOTS} UNION SELECT i.sub, w.depth + 1 FROM walk w JOIN {INHERIT} i ON i.super = w.node WHERE w.depth < 8)")
+@query(" SELECT w.node AS symbol_id, s.name, CAST(min(w.depth) AS INT) AS depth FROM walk w JOIN symbols s ON s.id = w.node WHERE w.node NOT IN (SELECT id FROM symbols WHERE name = 'sym_395' AND kind IN ('struct', 'trait')) GROUP BY w.node, s.name", f"walk(node, depth) AS ({ROOTS} UNION SELECT i.sub, w.depth + 1 FROM walk w JOIN {INHERIT} i ON i.super = w.node WHERE w.depth < 8)")
 def type_hierarchy_down(p):
     return _hierarchy(p, "down")
 
@@ -498,9 +498,10 @@ def shared_names(p):
     return N.shared_names(p.symbols)
 
 
-@query(" SELECT s.id, CASE WHEN t.n = 1 AND t.id <> s.id THEN t.id END AS parent_symbol_id FROM (SELECT id, file_id, 'sym_' || CAST((id - id % 10) % 997 AS STRING) AS parent_name FROM symbols) s LEFT JOIN (SELECT file_id, name, count(*) AS n, min(id) AS id FROM symbols WHERE kind IN ('struct', 'trait') GROUP BY 1, 2) t ON t.file_id = s.file_id AND t.name = s.parent_name")
+@query(" SELECT s.id, CASE WHEN t.n = 1 AND t.id <> s.id THEN t.id END AS parent_symbol_id FROM (SELECT x.id, x.file_id, y.name AS parent_name FROM symbols x JOIN symbols y ON y.file_id = x.file_id AND y.id % 10 = 0) s LEFT JOIN (SELECT file_id, name, count(*) AS n, min(id) AS id FROM symbols WHERE kind IN ('struct', 'trait') GROUP BY 1, 2) t ON t.file_id = s.file_id AND t.name = s.parent_name")
 def parent_linkage(p):
-    return R.parent_links(p.symbols.withColumn("parent_name", F.concat(F.lit("sym_"), ((F.col("id") - F.col("id") % 10) % 997).cast("string"))))
+    first = p.symbols.where("id % 10 = 0").select("file_id", F.col("name").alias("parent_name"))
+    return R.parent_links(p.symbols.join(first, "file_id"))
 
 
 @query(" SELECT CAST(count(*) AS BIGINT) AS dropped FROM refs WHERE symbol_id IS NULL AND kind = 'value'")
