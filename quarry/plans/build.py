@@ -9,6 +9,7 @@ from quarry.extract.stage import extract_files, first_pass
 from quarry.functions.text import first_segment
 from quarry.operators import edges as E
 from quarry.operators import resolve as R
+from quarry.operators.lookups import first_of
 from quarry.plans.runtime import settled
 from quarry.schema import TABLES, refs_named
 from quarry.sources import scan
@@ -78,11 +79,13 @@ def _second_pass(refs, symbols, imports, files, crate_of, known, reach, owned) -
     parts = F.split("name", "::")
     splits = names.where(F.col("name").contains("::")).join(owned.select("file_id", "crate"), "file_id", "left").select("file_id", "name", "crate", F.explode(F.sequence(F.lit(1), F.size(parts) - 1)).alias("cut"))
     splits = splits.withColumn("module", F.array_join(F.slice(parts, F.lit(1), F.col("cut")), "::"))
-    prefixed = F.when(F.col("module").rlike("^crate(::|$)"), F.concat_ws("|", "crate", "module")).otherwise(F.concat(F.lit("*|"), F.col("module")))
-    claimed = splits.withColumn("module", prefixed).join(known.withColumnRenamed("file_id", "target_file"), "module")
-    from quarry.operators.lookups import first_of
-
-    claimed = first_of(claimed, ["file_id", "name"], [F.desc("cut"), F.asc("target_file")])
+    # a prefix is tried below the crate first, then as it is written
+    module = F.col("module")
+    own = F.when(~module.rlike("^(crate|self|super)(::|$)"), F.concat_ws("|", "crate", F.concat(F.lit("crate::"), module)))
+    written = F.when(module.rlike("^crate(::|$)"), F.concat_ws("|", "crate", "module")).otherwise(F.concat(F.lit("*|"), module))
+    tried = splits.select("file_id", "name", "cut", F.posexplode(F.array(own, written)).alias("place", "module")).where("module is not null")
+    claimed = tried.join(known.withColumnRenamed("file_id", "target_file"), "module")
+    claimed = first_of(claimed, ["file_id", "name"], [F.desc("cut"), F.asc("place"), F.asc("target_file")])
     claimed = claimed.withColumn("target", F.array_join(F.slice(parts, F.col("cut") + 1, F.size(parts)), "::"))
     fallback = R._in_file(claimed.select("file_id", "name", "target_file", "target"), symbols).select("file_id", "name", "symbol_id")
     arms = {

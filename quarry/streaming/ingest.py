@@ -1,4 +1,5 @@
-"""Incremental indexing: new and changed source files arrive as a stream and their rows replace the old ones. An extension."""
+"""Incremental indexing: new source files arrive as a stream and are extracted in small batches. An extension;
+a file stream does not see that a known path has changed, which staleness() and without_files() are for."""
 
 from __future__ import annotations
 
