@@ -141,15 +141,15 @@ def _children(nodes: DataFrame, most: int, bits: int) -> DataFrame:
 
     Pairs whose differing bits exceed the budget, and pairs that have rows on one side only, are pruned.
     """
-    child = F.shiftrightunsigned(F.shiftleft("rot", F.col("depth")), 64 - bits)
+    child = F.shiftrightunsigned(F.call_function("shiftleft", F.col("rot"), F.col("depth")), 64 - bits)
     other = F.explode(F.sequence(F.lit(0), F.lit((1 << bits) - 1)))
     out = nodes.withColumn("c", child.cast("int")).withColumn("o", other)
     out = out.withColumn("off", F.col("off") + F.bit_count(F.col("c").bitwiseXOR(F.col("o")))).where(F.col("off") <= most)
     first = F.when(F.col("side") == 0, F.least("c", "o")).when(F.col("side") == 1, F.col("c")).otherwise(F.col("o"))
     second = F.when(F.col("side") == 0, F.greatest("c", "o")).when(F.col("side") == 1, F.col("o")).otherwise(F.col("c"))
     side = F.when((F.col("side") != 0), F.col("side")).when(F.col("c") == F.col("o"), 0).when(F.col("c") < F.col("o"), 1).otherwise(2)
-    out = out.select(F.xxhash64("gid", "depth", first, second).alias("gid"), side.alias("side"), "rot", "fp", (F.col("depth") + bits).cast("int").alias("depth"), "off")
-    full = out.groupBy("gid").agg(F.bit_or(F.shiftleft(F.lit(1), F.col("side"))).alias("sides")).where("sides not in (2, 4)")
+    out = out.select(F.xxhash64(F.col("gid"), F.col("depth"), first, second).alias("gid"), side.alias("side"), "rot", "fp", (F.col("depth") + bits).cast("int").alias("depth"), "off")
+    full = out.groupBy("gid").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("side"))).alias("sides")).where("sides not in (2, 4)")
     return out.join(full.select("gid"), "gid", "left_semi").select("gid", "side", "rot", "fp", "depth", "off")
 
 
