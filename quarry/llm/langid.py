@@ -68,7 +68,7 @@ class ByteTrees:
                 p[start[n] : start[n + 1]] = np.where(total > 0, mixed, parent)
             p[:, -1] /= 256 - a + 1
             costs[:, :, k] = -np.log2(np.maximum(p, 1e-30))
-        self.costs = costs.reshape(-1, len(self.langs))
+        self.costs = costs.reshape(len(costs) * a, len(self.langs))
 
     def _symbols(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols with three leading start marks before each text, and each symbol's text (-1: a mark)."""

@@ -21,7 +21,7 @@ PROBES = 4
 
 @dataclass(frozen=True)
 class Size:
-    """blocks (a power of two) of 4 KiB make the filter; room: bits for each insertion, at least; head: unigrams whose
+    """blocks (a power of two, 2 at least) of 4 KiB make the filter; room: bits for each insertion, at least; head: unigrams whose
     exact counts are broadcast. None depends on the corpus."""
 
     blocks: int = 4096
