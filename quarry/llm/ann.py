@@ -132,7 +132,7 @@ def _matrix(column) -> np.ndarray:
 
 
 def _search(pairs: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score): the k best of each query in each block of a leaf that it visits."""
+    """(query_id, vec_id, score): the k best of each query in each block of a leaf that it visits, without those below its bound."""
 
     def run(_, q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(x):
@@ -140,6 +140,8 @@ def _search(pairs: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
         ids, own = x["vec_id"].to_numpy(), q["query_id"].to_numpy()
         found = list(exact_top(_matrix(q["vector"]), own, _matrix(x["vector"]), ids, k))
         i, j, s = (np.concatenate(c) for c in zip(*found, strict=True))
+        near = s >= q["bound"].to_numpy()[i]
+        i, j, s = i[near], j[near], s[near]
         return pd.DataFrame({"query_id": own[i], "vec_id": j, "score": s})
 
     return pairs.groupBy("leaf", "block").cogroup(blocks.groupBy("leaf", "block")).applyInPandas(run, "query_id long, vec_id long, score double")
@@ -190,7 +192,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
     rows = rows.where(F.size("vector") == d)
     asked = usable(queries).where(F.size("vector") == d).select(F.col("vec_id").alias("query_id"), "vector").dropDuplicates(["query_id"])
     drawn = F.pmod(F.xxhash64("vec_id", F.lit("sample")), F.lit(1_000_000)) < min(1.0, settings.sample / n) * 1_000_000
-    sample = _matrix([r["vector"] for r in rows.where(drawn).orderBy("vec_id").toLocalIterator()] or [r["vector"] for r in rows.limit(1).collect()])
+    taken = [(r["vec_id"], r["vector"]) for r in rows.where(drawn).orderBy("vec_id").toLocalIterator()] or [(r["vec_id"], r["vector"]) for r in rows.limit(1).collect()]
+    sample, sample_ids = _matrix([t[1] for t in taken]), np.array([t[0] for t in taken])
     tree = Tree(sample, settings.branch, settings.leaf)
     shipped = spark.sparkContext.broadcast(tree)
 
@@ -221,25 +224,31 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
         needed = np.sort([order[r["query_id"]][r["leaf"]] + 1 for r in best])
         if len(needed):
             visits = int(needed[min(len(needed) - 1, int(np.ceil(settings.recall * len(needed))))])
-    plan = spark.sparkContext.broadcast((tree, radii, held, visits))
+    plan = spark.sparkContext.broadcast((tree, radii, held, visits, sample, sample_ids, tree.assign(sample)))
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree, radii, held, visits = plan.value
+        tree, radii, held, visits, sample, sample_ids, sample_leaf = plan.value
         for batch in batches:
-            leaves = []
-            for q in batch["vector"]:
-                mine, seen = [], 0
-                for place, leaf in enumerate(tree.best_first(np.asarray(q, dtype=float), radii)):
+            leaves, bounds = [], []
+            for vector, own in zip(batch["vector"], batch["query_id"], strict=True):
+                q, mine, seen = np.asarray(vector, dtype=float), [], 0
+                for place, leaf in enumerate(tree.best_first(q, radii)):
                     if place >= visits and seen > k:
                         break
                     mine.append(leaf)
                     seen += held[leaf]
                 leaves.append(mine)
-            yield batch.assign(leaves=leaves)
+                # the k-th best of the sample in the visited leaves is a lower bound of the k-th best of all rows there
+                visited = np.zeros(tree.leaves, dtype=bool)
+                visited[mine] = True
+                scores = (sample @ q)[visited[sample_leaf] & (sample_ids != own)]
+                bounds.append(np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else -np.inf)
+            bounds = np.array(bounds, dtype=float)
+            yield batch.assign(leaves=leaves, bound=bounds - 1e-9 * (1 + np.abs(np.where(np.isfinite(bounds), bounds, 0))))
 
     blocks = F.greatest(F.lit(1), F.ceil(F.element_at(F.lit(np.maximum(1, held)).cast("array<long>"), (F.col("leaf") + 1).cast("int")) / settings.rows)).cast("long")
-    visited = asked.mapInPandas(route, "query_id long, vector array<double>, leaves array<long>")
-    visited = visited.select("query_id", "vector", F.explode("leaves").alias("leaf"))
-    pairs = visited.select("query_id", "vector", "leaf", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"))
+    visited = asked.mapInPandas(route, "query_id long, vector array<double>, leaves array<long>, bound double")
+    visited = visited.select("query_id", "vector", "bound", F.explode("leaves").alias("leaf"))
+    pairs = visited.select("query_id", "vector", "bound", "leaf", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"))
     dealt = rows.select("vec_id", "vector", "leaf", F.pmod(F.xxhash64("vec_id", F.lit("block")), blocks).alias("block"))
     return _ranked(_search(pairs, dealt, k), k)
