@@ -37,16 +37,17 @@ class Index:
         """With a language server's answers as rows (ref_path, ref_line, ref_column, def_path, def_line)."""
         return Index(self.spark, self.root, self.folder, definitions)
 
-    def index(self) -> dict:
-        """Build or replace the index; gives counts and the files that could not be read."""
-        tables, errors = build_tables(self.spark, self.root, definitions=self.definitions)
+    def index(self, languages: list[str] | None = None) -> dict:
+        """Build or replace the index, of some languages only if they are given; gives counts and the files that could not be read."""
+        sources = scan.scan_sources(self.spark, self.root).where(F.col("language").isin(languages)) if languages else None
+        tables, errors = build_tables(self.spark, self.root, sources, self.definitions)
         catalog.save(tables, self.folder)
         self._tables = None
         return {"files": self.files.count(), "symbols": self.symbols.count(), "refs": self.refs.count(), "errors": [(r["path"], r["reason"]) for r in errors.collect()]}
 
-    def rebuild(self) -> dict:
+    def rebuild(self, languages: list[str] | None = None) -> dict:
         self.remove_index_files()
-        return self.index()
+        return self.index(languages)
 
     def update(self) -> dict:
         """Index anew if anything has changed."""
