@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quarry.llm.shared import kept, tune
 
@@ -24,7 +25,7 @@ class Rules:
     """cosine: from which a window is compared with an item. lcs: share of the item's words, in order, that proves a
     leak by itself; paraphrase: the share that does together with the answer, the item's last words."""
 
-    rank: int = 64
+    rank: int = 128
     cosine: float = 0.5
     lcs: float = 0.8
     paraphrase: float = 0.6
@@ -126,6 +127,10 @@ class Index:
         self.ids, self.texts, self.vocabulary, self.rules = ids, texts, vocabulary, rules
         self.vectors = np.vstack([weights[:, None] * space, np.zeros(space.shape[1])]).astype(np.float32)
         items = np.stack([self.vectors[[vocabulary[w] for w in t]].sum(0) for t in texts])
+        #: A leak loses at most (1 - paraphrase) of an item's words, so at least so many different ones must be there.
+        self.sets = [frozenset(t) for t in texts]
+        self.least = [len(d) - (1 - rules.paraphrase) * len(t) for d, t in zip(self.sets, texts, strict=True)]
+        self.reach = max(map(len, texts)) // 2
         self.items = items / np.maximum(np.linalg.norm(items, axis=1, keepdims=True), 1e-12)
 
     def windows(self, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
@@ -181,14 +186,21 @@ class Index:
         overlap = STEP * (max(WIDTHS) - 1)
         for begin in range(0, len(at_), piece):
             for step, item, cosine, width in self.windows(at_[begin : begin + piece + overlap]):
-                for s, j, c in zip((step + begin // STEP).tolist(), item.tolist(), cosine.tolist(), strict=True):
-                    k = int(np.searchsorted(first_, s, "right")) - 1
-                    i, split = held[k]
+                step = step + begin // STEP
+                text = np.searchsorted(first_, step, "right") - 1
+                start = (step - first_[text]) * STEP
+                place, near, least, sets = None, frozenset(), self.least, self.sets
+                for k, a, j, c in zip(text.tolist(), start.tolist(), item.tolist(), cosine.tolist(), strict=True):
+                    if (k, a) != place:  # windows come in order, each with all its items
+                        place, split = (k, a), held[k][1]
+                        near = frozenset(split[max(0, a - self.reach) : a + width * STEP + self.reach])
+                    if len(near & sets[j]) < least[j]:
+                        continue
+                    i = held[k][0]
                     known = best.get((i, j))
                     if known and known[1] == 1.0:
                         continue
-                    start = (s - first[k]) * STEP
-                    checked = self.verify(j, split, start, start + width * STEP)
+                    checked = self.verify(j, split, a, a + width * STEP)
                     if checked and (known is None or (checked[0], c) > (known[1], known[0])):
                         best[i, j] = (c, *checked)
         for (i, j), found in best.items():
@@ -227,6 +239,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     kinds = (docs.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString())
     columns = f"key {kinds[0]}, item {kinds[1]}, cosine double, lcs double, answer double"
     source = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
+    id_type = to_arrow_type(benchmark.schema[item].dataType)
     parts: list[DataFrame] = []
 
     def search(block: list[tuple]) -> None:
@@ -240,8 +253,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
             for batch in batches:
                 found = list(index.search(batch.column(1).to_pylist()))
                 rows = batch.column(0).take(pa.array([f[0] for f in found], pa.int64()))
-                ids = pa.array([index.ids[f[1]] for f in found])
-                yield pa.RecordBatch.from_arrays([rows, ids.cast(pa.int64()) if kinds[1] == "bigint" else ids, *[pa.array([float(f[n]) for f in found], pa.float64()) for n in (2, 3, 4)]], names=["key", "item", "cosine", "lcs", "answer"])
+                ids = pa.array([index.ids[f[1]] for f in found], id_type)
+                yield pa.RecordBatch.from_arrays([rows, ids, *[pa.array([float(f[n]) for f in found], pa.float64()) for n in (2, 3, 4)]], names=["key", "item", "cosine", "lcs", "answer"])
 
         parts.append(kept(source.mapInArrow(run, columns), "leaks"))
         shipped.unpersist()
