@@ -13,10 +13,14 @@ from pyspark.sql import functions as F
 
 from quarry.llm.shared import tune
 
-#: Pieces longer than this many bytes are not memoised; the transducer streams over them.
-MEMO_BYTES = 48
-MEMO_PIECES = 600_000
-MAX_STATES = 50_000
+#: Pieces longer than this many characters are not memoised; the transducer streams over them.
+MEMO_CHARS = 48
+#: Bounds of the tables; the pieces and pairs of the last generation stay until as many new ones have come.
+MEMO_PIECES = 400_000
+MAX_PAIRS = 250_000
+MAX_STATES = 60_000
+#: Transitions are kept from states of fewer pending bytes, which many pieces pass; later ones are simulated.
+SHARED = 4
 #: Bytes that wait before the transducer looks for a token to emit.
 LOOKAHEAD = 16
 
@@ -28,12 +32,18 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 def merge_by_rank(ranks: dict[bytes, int], text: bytes) -> list[int]:
     """Plain BPE of a short string: join the adjacent pair of lowest rank, leftmost first, until none can be joined."""
+    none = 1 << 60
+    of = ranks.get
     parts = [text[i : i + 1] for i in range(len(text))]
-    while len(parts) > 1:
-        rank, at = min((ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-        if rank == 1 << 60:
-            break
+    joins = [of(text[i : i + 2], none) for i in range(len(text) - 1)]
+    while joins and (rank := min(joins)) != none:
+        at = joins.index(rank)
         parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        del joins[at]
+        if at:
+            joins[at - 1] = of(parts[at - 1] + parts[at], none)
+        if at < len(joins):
+            joins[at] = of(parts[at] + parts[at + 1], none)
     return [ranks[p] for p in parts]
 
 
@@ -66,18 +76,23 @@ class Transducer:
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.sizes = {rank: len(token) for token, rank in ranks.items()}
         self.starts = {token[:n] for token in ranks for n in range(1, len(token))}
-        self.pairs: dict[tuple, bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.old_pairs: dict[int, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
         self.states: dict[tuple, _State] = {}
         self.start = _State(None, b"", [None], [])
 
-    def _stable(self, first: int | None, second: int) -> bool:
-        if len(self.pairs) > 5 * MAX_STATES:
-            self.pairs.clear()
-        both = [second] if first is None else [first, second]
-        known = self.pairs[first, second] = merge_by_rank(self.ranks, b"".join(self.tokens[t] for t in both)) == both
+    def _stable(self, key: int) -> bool:
+        """Whether two tokens (or one: its id less 2**32) stay as they are; not yet in self.pairs."""
+        known = self.old_pairs.get(key)
+        if known is None:
+            both = [key + (1 << 32)] if key < 0 else [key >> 32, key & 0xFFFFFFFF]
+            known = merge_by_rank(self.ranks, b"".join(self.tokens[t] for t in both)) == both
+        if len(self.pairs) >= MAX_PAIRS:
+            self.old_pairs, self.pairs = self.pairs, {}
+        self.pairs[key] = known
         return known
 
     def _column(self, previous, pending: bytes, last: list, live: list) -> list:
@@ -90,17 +105,17 @@ class Transducer:
             part = pending[at:]
             if found is None and (token := token_of(part)) is not None:
                 before = last[at] if at else previous
-                known = stable((before, token))
-                if known or (known is None and self._stable(before, token)):
+                key = token - (1 << 32) if before is None else before << 32 | token
+                known = stable(key)
+                if known or (known is None and self._stable(key)):
                     found = token
             if part in self.starts:
                 on.append(at)
         last.append(found)
         return on
 
-    def _step(self, state: _State, byte: int) -> tuple[tuple[int, ...], _State]:
-        previous, pending, last = state.previous, state.pending + bytes((byte,)), state.last.copy()
-        live = self._column(previous, pending, last, state.live)
+    def _emit(self, previous, pending: bytes, last: list, live: list) -> tuple[list[int], int | None, bytes, list, list]:
+        """Tokens that are settled, and what is left to wait."""
         out = []
         while len(pending) >= LOOKAHEAD:
             first = {self._first(last, at) for at in (*live, len(pending))}
@@ -113,6 +128,12 @@ class Transducer:
             for at in range(len(rest)):  # the prefixes anew, after the emitted token
                 pending = rest[: at + 1]
                 live = self._column(previous, pending, last, live)
+        return out, previous, pending, last, live
+
+    def _step(self, state: _State, byte: int) -> tuple[tuple[int, ...], _State]:
+        pending, last = state.pending + bytes((byte,)), state.last.copy()
+        live = self._column(state.previous, pending, last, state.live)
+        out, previous, pending, last, live = self._emit(state.previous, pending, last, live)
         key = (previous, pending)
         known = self.states.get(key)
         if known is None:
@@ -135,20 +156,33 @@ class Transducer:
         if len(self.states) > MAX_STATES:
             self._reset()
         out: list[int] = []
-        state = self.start
+        state, n = self.start, 0
+        shared = SHARED if len(data) <= MEMO_CHARS else len(data)  # long pieces repeat themselves
         for byte in data:
             got = state.next.get(byte)
             if got is None:
+                if len(state.pending) >= shared:
+                    break
+                if len(self.states) > MAX_STATES:
+                    self.states.clear()
                 got = state.next[byte] = self._step(state, byte)
-                if len(self.states) > 2 * MAX_STATES:
-                    self._reset()
             if got[0]:
                 out += got[0]
             state = got[1]
-        tail, at = [], len(state.pending)
+            n += 1
+        previous, pending, last, live = state.previous, state.pending, state.last, state.live
+        if n < len(data):
+            last = last.copy()
+            for at in range(n, len(data)):
+                pending += data[at : at + 1]
+                live = self._column(previous, pending, last, live)
+                if len(pending) >= LOOKAHEAD:
+                    more, previous, pending, last, live = self._emit(previous, pending, last, live)
+                    out += more
+        tail, at = [], len(pending)
         while at > 0:
-            tail.append(state.last[at])
-            at -= self.sizes[state.last[at]]
+            tail.append(last[at])
+            at -= self.sizes[last[at]]
         return out + tail[::-1]
 
 
@@ -160,19 +194,21 @@ class Encoder:
         self.find = regex.compile(pattern, regex.V0).finditer
         self.all = regex.compile(pattern, regex.V0).findall
         self.memo: dict[str, str] = {}
+        self.old_memo: dict[str, str] = {}
 
     def _piece(self, piece: str) -> str:
-        data = piece.encode()
-        ids = ",".join(map(str, self.transducer.encode(data)))
-        if len(data) <= MEMO_BYTES:
+        ids = self.old_memo.get(piece)
+        if ids is None:
+            ids = ",".join(map(str, self.transducer.encode(piece.encode())))
+        if len(piece) <= MEMO_CHARS:
             if len(self.memo) >= MEMO_PIECES:
-                self.memo.clear()
+                self.old_memo, self.memo = self.memo, {}
             self.memo[piece] = ids
         return ids
 
     def encode_joined(self, text: str) -> str:
         """Decimal ids joined by commas."""
-        memo, piece = self.memo.get, self._piece
+        memo, piece = self.memo.get, self._piece  # of the generation at the start of the text
         return ",".join([memo(p) or piece(p) for p in self.all(text)])
 
     def encode(self, text: str) -> list[int]:
