@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.langid import fold
-from quarry.llm.shared import kept, partitions, tune
+from quarry.llm.shared import kept, partitions, shared_dir, tune
 
 #: What ends a text, and what precedes its first token; no word holds a blank.
 END, BEGIN = b" ", b"  "
@@ -21,12 +21,14 @@ PROBES = 4
 
 @dataclass(frozen=True)
 class Size:
-    """blocks (a power of two, 2 at least) of 4 KiB make the filter; room: bits for each insertion, at least; head: unigrams whose
-    exact counts are broadcast. None depends on the corpus."""
+    """blocks (a power of two, 2 at least) make the filter, each of as many pages of 4 KiB as its n-grams need; room: bits for each
+    insertion; head: unigrams whose exact counts are broadcast; part: bytes of the filter that a worker holds at a time, at
+    least a block. None depends on the corpus; the filter's size does."""
 
     blocks: int = 4096
     room: int = 8
     head: int = 1 << 20
+    part: int = 1 << 26
     weight: float = 0.6
 
 
@@ -73,11 +75,15 @@ def _sum(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray,
     return keys[start], np.add.reduceat(counts, start) if len(start) else counts
 
 
-def _positions(h: np.ndarray, level: int, blocks: int) -> list[np.ndarray]:
+def _page(h: np.ndarray, blocks: int, pages: np.ndarray) -> np.ndarray:
+    """The page of each key within its block, by the bits that follow those which name the block."""
+    return (((h << np.uint64(blocks.bit_length() - 1)) >> np.uint64(32)) * pages.astype(np.uint64)) >> np.uint64(32)
+
+
+def _positions(h: np.ndarray, level: int, page: np.ndarray) -> list[np.ndarray]:
     x = mix(h + np.uint64(level * 0xD1B54A32D192ED03 % (1 << 64)))
-    block = (h >> np.uint64(64 - blocks.bit_length() + 1)) << np.uint64(BLOCK_BITS) if blocks > 1 else np.zeros_like(h)
     low = np.uint64((1 << BLOCK_BITS) - 1)
-    return [block + ((x >> np.uint64(i * BLOCK_BITS)) & low) for i in range(PROBES)]
+    return [(page << np.uint64(BLOCK_BITS)) + ((x >> np.uint64(i * BLOCK_BITS)) & low) for i in range(PROBES)]
 
 
 def quantised(n: np.ndarray) -> np.ndarray:
@@ -85,34 +91,53 @@ def quantised(n: np.ndarray) -> np.ndarray:
     return np.frexp(n.astype(np.float64))[1].astype(np.int64)
 
 
+#: The count that a level stands for.
+COUNTS = np.array([0.0, 1.0, *(1.5 * 2.0 ** (level - 1) for level in range(2, 64))])
+
+
 class LogFilter:
-    """A Bloom filter that holds (n-gram, 1) to (n-gram, level) for each n-gram of a quantised count."""
+    """A Bloom filter that holds (n-gram, 1) to (n-gram, level) for each n-gram of a quantised count.
 
-    def __init__(self, bits: np.ndarray, blocks: int):
-        self.bits, self.blocks = bits, blocks
+    pages: those of each block, one by default. bits: all blocks in order, or those from page `start` on.
+    """
 
-    def counts(self, h: np.ndarray) -> np.ndarray:
-        """Counts by membership probes of growing level, until one fails."""
-        level = np.zeros(len(h), dtype=np.int64)
-        live = np.arange(len(h))
+    def __init__(self, bits: np.ndarray, blocks: int, pages: np.ndarray | None = None, start: int = 0):
+        self.bits, self.blocks = bits, blocks
+        self.pages = np.ones(blocks, dtype=np.int64) if pages is None else pages
+        self.first = np.cumsum(self.pages) - self.pages - start
+
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        """Levels by membership probes of growing level, until one fails; some keys at a time, to hold little."""
+        done = [self._levels(h[i : i + (1 << 18)]) for i in range(0, len(h), 1 << 18)]
+        return np.concatenate(done) if done else np.zeros(0, dtype=np.uint8)
+
+    def _levels(self, h: np.ndarray) -> np.ndarray:
+        level = np.zeros(len(h), dtype=np.uint8)
+        block = h >> np.uint64(64 - self.blocks.bit_length() + 1)
+        pages = self.pages[block]
+        page = self.first[block].astype(np.uint64) + _page(h, self.blocks, pages)
+        live = np.flatnonzero(pages > 0)
         while len(live):
-            at = h[live]
+            at, own = h[live], page[live]
             hit = np.ones(len(live), dtype=bool)
-            for p in _positions(at, int(level[live[0]]) + 1, self.blocks):
+            for p in _positions(at, int(level[live[0]]) + 1, own):
                 hit &= (self.bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
             live = live[hit]
             level[live] += 1
             if len(live) and level[live[0]] >= 62:
                 break
-        return np.where(level > 1, 1.5 * 2.0 ** (level - 1), level)
+        return level
+
+    def counts(self, h: np.ndarray) -> np.ndarray:
+        return COUNTS[self.levels(h)]
 
 
 def count_ngrams(docs: DataFrame, size: Size) -> DataFrame:
-    """(kind, key, n, bits): kind 1 has each token's exact count; kind 0 each block of the filter and its least count.
+    """(kind, key, n, bits): kind 1 has each token's exact count; kind 0 each block of the filter and its insertions.
 
     Tasks sum the counts of what they read before the shuffle, so a frequent n-gram is one row a task. Keys are
-    dealt by their leading bits, which name the block, so a block is built in one place from all its n-grams. In
-    a block that would overflow, n-grams below the least power of two that fits are left out, as in any pruned model.
+    dealt by their leading bits, which name the block, so a block is built in one place from all its n-grams. It
+    takes as many pages as they need: every n-gram is inserted.
     """
     shift = 64 - (size.blocks.bit_length() - 1)
 
@@ -180,28 +205,58 @@ def count_ngrams(docs: DataFrame, size: Size) -> DataFrame:
         edges = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True])
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             h, q = keys[a:b], levels[a:b]
-            least = 1
-            while q[q >= least].sum() * size.room > 1 << BLOCK_BITS:
-                least += 1
-            h, q = h[q >= least], q[q >= least]
-            flags = np.zeros(1 << BLOCK_BITS, dtype=np.uint8)
-            for level in range(1, int(q.max(initial=0)) + 1):
-                for p in _positions(h[q >= level], level, size.blocks):
-                    flags[p & np.uint64((1 << BLOCK_BITS) - 1)] = 1
+            inserted = int(q.sum())
+            pages = -(-inserted * size.room >> BLOCK_BITS)
+            page = _page(h, size.blocks, np.full(len(h), pages))
+            flags = np.zeros(pages << BLOCK_BITS, dtype=np.uint8)
+            for level in range(1, int(q.max()) + 1):
+                own = q >= level
+                for p in _positions(h[own], level, page[own]):
+                    flags[p] = 1
             bits = np.packbits(flags, bitorder="little").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int8()), pa.array([int(block[a])], pa.int64()), pa.array([1 << (least - 1)], pa.int64()), pa.array([bits], pa.binary())], names=["kind", "key", "n", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int8()), pa.array([int(block[a])], pa.int64()), pa.array([inserted], pa.int64()), pa.array([bits], pa.binary())], names=["kind", "key", "n", "bits"])
 
     counted = docs.select(F.col("text").cast("binary")).mapInArrow(count, "kind byte, key long, n long")
     dealt = counted.repartition(partitions(docs.sparkSession), F.shiftrightunsigned("key", shift))
     return kept(dealt.mapInArrow(build, "kind byte, key long, n long, bits binary"), "ngrams")
 
 
+def _stored(blocks: DataFrame, shift: int) -> dict[int, str]:
+    """Write the blocks of each part (key >> shift) in order to a file in the shared folder: part to its URI."""
+    folder = shared_dir(blocks.sparkSession, "filter")
+
+    def write(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, place = fs.FileSystem.from_uri(folder)
+        store.create_dir(place, recursive=True)
+        part = out = None
+        done: list[tuple[int, str]] = []
+        for batch in batches:
+            for k, bits in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                if k != part:
+                    if out is not None:
+                        out.close()
+                    part, name = k, f"{k}-{TaskContext.get().taskAttemptId()}"
+                    out = store.open_output_stream(f"{place}/{name}")
+                    done.append((k, f"{folder}/{name}"))
+                out.write(bits.as_buffer())
+        if out is not None:
+            out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.string())], names=["part", "uri"])
+
+    rows = blocks.select(F.shiftright("key", shift).alias("part"), "key", "bits")
+    rows = rows.repartition(partitions(blocks.sparkSession), "part").sortWithinPartitions("part", "key")
+    return {r["part"]: r["uri"] for r in rows.mapInArrow(write, "part long, uri string").collect()}
+
+
 def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "text", size: Size = Size()) -> DataFrame:
     """docs' columns but text, then n_tokens, n_known, train_tokens, base_score and score (columns of these names are replaced).
 
     base_score is exact: the counts of the most frequent tokens are broadcast, up to size.head of them; all
     others are joined by a shuffle. score interpolates quantised bigram and unigram counts, which workers read
-    from the broadcast filter. A null text counts as empty: one token, the end. Without training texts every
+    from the filter part by part: the parts lie in the shared folder, and a worker holds one of them. A null text counts as empty: one token, the end. Without training texts every
     count is zero. Repeated rows are scored each for itself.
     """
     spark = docs.sparkSession
@@ -219,35 +274,69 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", text:
     head = words.where(F.col("n") >= least).toArrow()
     head_keys, head_n = head.column(0).to_numpy().view(np.uint64), head.column(1).to_numpy()
     order = np.argsort(head_keys)
-    bits = np.zeros(size.blocks << (BLOCK_BITS - 3), dtype=np.uint8)
-    for r in counts.where("kind = 0").select("key", "bits").toLocalIterator():
-        at = r["key"] << (BLOCK_BITS - 3)
-        bits[at : at + (1 << (BLOCK_BITS - 3))] = np.frombuffer(r["bits"], dtype=np.uint8)
-    shipped = spark.sparkContext.broadcast((head_keys[order], head_n[order], bits))
+    filters = counts.where("kind = 0").select("key", "bits")
+    pages = np.zeros(size.blocks, dtype=np.int64)
+    for r in filters.select("key", F.length("bits").alias("size")).collect():
+        pages[r["key"]] = r["size"] >> (BLOCK_BITS - 3)
+    name = size.blocks.bit_length() - 1
+    shift = name
+    while shift and pages.reshape(-1, 1 << shift).sum(axis=1).max() << (BLOCK_BITS - 3) > size.part:
+        shift -= 1
+    stored = _stored(filters, shift)
+    shipped = spark.sparkContext.broadcast((head_keys[order], head_n[order], pages))
     new = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     others = [c for c in docs.columns if c != text and c not in new]
     norm = np.log10(n_all + kinds + 1)
 
     def run(batches):
         import pyarrow as pa
-
-        keys, n, bits = shipped.value
-        model, hashes, at = LogFilter(bits, size.blocks), _Hashes(), TaskContext.get().partitionId() << 36
-        for batch in batches:
-            now, was, sizes = _tokens(batch.column(batch.num_columns - 1).to_pylist(), hashes)
-            unique, where = np.unique(now, return_inverse=True)
+        from pyarrow import fs
+
+        keys, n, pages = shipped.value
+        hashes, at = _Hashes(), TaskContext.get().partitionId() << 36
+        loaded: dict[int, LogFilter] = {}
+
+        def part(k: int) -> LogFilter:
+            if k not in loaded:
+                loaded.clear()
+                store, place = fs.FileSystem.from_uri(stored[k])
+                with store.open_input_stream(place) as f:
+                    loaded[k] = LogFilter(np.frombuffer(f.read(), dtype=np.uint8), size.blocks, pages, int(pages[: k << shift].sum()))
+            return loaded[k]
+
+        def gathered():
+            """Batches with the levels of their distinct tokens and of their pairs; with several parts, as many
+            batches at a time as have 4 M tokens: each part is read once for all of them."""
+            held: list = []
+            for batch in batches:
+                now, was, sizes = _tokens(batch.column(batch.num_columns - 1).to_pylist(), hashes)
+                unique, where = np.unique(now, return_inverse=True)
+                held.append((batch.columns[:-1], now, was, sizes, unique, where.astype(np.int32)))
+                if len(stored) < 2 or sum(len(x[1]) for x in held) >= 4_000_000:
+                    yield from looked_up(held)
+                    held.clear()
+            yield from looked_up(held)
+
+        def looked_up(held: list):
+            ones, twos = ([np.zeros(len(x[i]), dtype=np.uint8) for x in held] for i in (4, 1))
+            for k in sorted(stored, key=lambda k: k not in loaded) if held else ():
+                for x, one, two in zip(held, ones, twos, strict=True):
+                    for h, level in ((x[4], one), (_pair(x[2], x[1]), two)):
+                        own = np.flatnonzero(h >> np.uint64(64 - name) >> np.uint64(shift) == k) if len(stored) > 1 else slice(None)
+                        level[own] = part(k).levels(h[own])
+            for x, one, two in zip(held, ones, twos, strict=True):
+                yield *x, COUNTS[one], COUNTS[two]
+
+        for columns, now, _, sizes, unique, where, one, two in gathered():
             c, found = np.zeros(len(unique)), np.zeros(len(unique), dtype=bool)
             if len(keys):
                 place = np.minimum(np.searchsorted(keys, unique), len(keys) - 1)
                 found = keys[place] == unique
                 c[found] = n[place[found]]
-            one = model.counts(unique)
-            begin = model.counts(np.array([hashes[END]], dtype=np.uint64))[0]
             first = np.cumsum(np.r_[0, sizes[:-1]])
             before = np.empty(len(now))
             before[1:] = one[where[:-1]]
-            before[first] = begin  # as many texts begin as end
-            two = model.counts(_pair(was, now))
+            before[first] = one[np.searchsorted(unique, np.uint64(hashes[END]))]  # as many texts begin as end
             p = size.weight * np.where(two > 0, two / np.maximum(np.maximum(before, two), 1), 0) + (1 - size.weight) * (one[where] + 1) / (n_all + kinds + 1)
             rest = ~found[where]
             tails = np.add.reduceat(rest.astype(np.int64), first)
@@ -255,7 +344,7 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", text:
             sums = [np.add.reduceat(x, first) for x in (found[where].astype(np.int64), np.log10(c + 1)[where], np.log10(p))]
             made = [pa.array(np.arange(at, at + len(sizes))), pa.array(sizes), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2]), lists]
             at += len(sizes)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[f"c{i}" for i in range(len(others))] + ["row", "size", "known", "logs", "score", "tail"])
+            yield pa.RecordBatch.from_arrays([*columns, *made], names=[f"c{i}" for i in range(len(others))] + ["row", "size", "known", "logs", "score", "tail"])
 
     source = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)], F.col(text).cast("binary").alias("__text"))
     schema = ", ".join([f"c{i} {source.schema[f'c{i}'].dataType.simpleString()}" for i in range(len(others))] + ["row long, size long, known long, logs double, score double, tail array<long>"])

@@ -397,3 +397,27 @@ def test_filter_holds_quantised_counts(spark):
     model = ngram_lm.LogFilter(np.concatenate([blocks.get(k, np.zeros(4096, np.uint8)) for k in (0, 1)]), 2)
     h = np.array([xxhash.xxh64_intdigest(w) for w in (b"a", b"b", b"never")], dtype=np.uint64)
     assert model.counts(h).tolist() == [24.0, 3.0, 0.0]
+
+
+def test_filter_grows_with_the_ngrams(spark):
+    """12,000 words and as many pairs, far above what two blocks of one page have room for: all of them are found."""
+    words = [f"w{i}" for i in range(12_000)]
+    df = spark.createDataFrame([(i, " ".join(words[i * 100 : i * 100 + 100])) for i in range(120)], "doc_id long, text string")
+    rows = [r for r in ngram_lm.count_ngrams(df, ngram_lm.Size(blocks=2)).collect() if r["kind"] == 0]
+    bits = np.concatenate([np.frombuffer(r["bits"], dtype=np.uint8) for r in sorted(rows, key=lambda r: r["key"])])
+    pages = np.array([len(r["bits"]) // 4096 for r in sorted(rows, key=lambda r: r["key"])])
+    assert len(rows) == 2 and len(bits) >= 24_000  # 8 bits for each insertion
+    model = ngram_lm.LogFilter(bits, 2, pages)
+    h = np.array([xxhash.xxh64_intdigest(w.encode()) for w in words], dtype=np.uint64)
+    pairs = ngram_lm._pair(h[:-1], h[1:])[np.arange(len(h) - 1) % 100 < 99]
+    assert (model.counts(h) >= 1).all() and (model.counts(pairs) >= 1).all()
+    never = np.array([xxhash.xxh64_intdigest(b"never%d" % i) for i in range(10_000)], dtype=np.uint64)
+    assert (model.counts(never) > 0).mean() < 0.05
+
+
+def test_scores_are_those_of_the_whole_filter(spark):
+    """Whether a worker holds all of the filter at a time or a block."""
+    words = [f"w{i * i % 9973}" for i in range(40_000)]
+    df = spark.createDataFrame([(i, " ".join(words[i * 50 : i * 50 + 50])) for i in range(800)], "doc_id long, text string")
+    whole, parted = ({r["doc_id"]: r["score"] for r in ngram_lm.score_texts(df, df, size=ngram_lm.Size(blocks=8, part=part)).collect()} for part in (1 << 26, 1))
+    assert len(whole) == 800 and whole == parted
