@@ -187,6 +187,27 @@ def scc(p):
     return G.strong_components(_block_deps(p).select(F.col("from_file_id").alias("src"), F.col("to_file_id").alias("dst")))
 
 
+WHOLE_CYCLES = CYCLES.replace("block_deps", "file_deps")
+
+
+@query(" SELECT list_aggregate(list_sort(path[1:len(path) - 1]), 'string_agg', ',') AS members, CAST(len(path) - 1 AS INT) AS length FROM ways WHERE node = start", WHOLE_CYCLES)
+def cycles_whole(p):
+    """cycles, over all file dependencies instead of those within blocks of four files."""
+    return G.detect_cycles(_deps(p), p.files).select(F.array_join(F.array_sort("ids").cast("array<string>"), ",").alias("members"), "length")
+
+
+#: From each node m the walk keeps to nodes not below it: forth has what m reaches so, back what of that reaches m.
+#: The least m that has a node in back is the least node of its component.
+FORTH = """forth(m, n) AS (SELECT from_file_id, to_file_id FROM file_deps WHERE to_file_id >= from_file_id UNION SELECT f.m, d.to_file_id FROM forth f JOIN file_deps d ON d.from_file_id = f.n WHERE d.to_file_id >= f.m),
+back(m, n) AS (SELECT f.m, f.n FROM forth f JOIN file_deps d ON d.from_file_id = f.n AND d.to_file_id = f.m UNION SELECT b.m, d.from_file_id FROM back b JOIN file_deps d ON d.to_file_id = b.n JOIN forth f ON f.m = b.m AND f.n = d.from_file_id)"""
+
+
+@query(" SELECT node, scc, CAST(count(*) OVER (PARTITION BY scc) AS BIGINT) AS size FROM (SELECT n AS node, min(m) AS scc FROM back GROUP BY n)", FORTH)
+def scc_whole(p):
+    """scc, over all file dependencies instead of those within blocks of four files."""
+    return G.strong_components(_deps(p).select(F.col("from_file_id").alias("src"), F.col("to_file_id").alias("dst")))
+
+
 @query(" SELECT name, CAST(count(*) AS BIGINT) AS n FROM refs_named GROUP BY name")
 def refs_named(p):
     return schema.refs_named(p.refs, p.symbols).groupBy("name").agg(F.count("*").alias("n"))
