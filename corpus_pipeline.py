@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from quarry.llm.bpe import bpe_encode, public_ranks
 from quarry.llm.decontam import decontaminate
 from quarry.llm.langid import fold, identify, train
+from quarry.llm.neardup import jaccard_dedup
 from quarry.llm.secrets import redact_secrets
 from quarry.llm.shared import kept
-from quarry.llm.simhash import simhash_dedup
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,8 +20,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: that of the least doc_id."""
-    return simhash_dedup(docs)
+    """One document of each group of like texts (five-word shingles, Jaccard similarity of 0.8 or more) stays: that of the least doc_id."""
+    return jaccard_dedup(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

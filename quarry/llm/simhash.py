@@ -17,17 +17,20 @@ from quarry.llm.shared import in_groups, kept, partitions, tune
 TOP = 21
 
 
-def fingerprint(text: bytes | None, width: int = 3) -> int:
-    """Majority bits over the XXH64 (seed 42) of all shingles, repeats included; 0 for a text without words."""
+def shingles(text: bytes | None, width: int = 3) -> np.ndarray:
+    """XXH64 (seed 42) of all word shingles, repeats included; a text of fewer words is one shingle."""
     words = text.lower().split() if text else []
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     if len(words) <= width:
         grams = [b" ".join(words)]
     else:
         grams = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(g, 42) for g in grams], dtype="<u8")
+    return np.array([digest(g, 42) for g in grams], dtype="<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)]
@@ -35,6 +38,11 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes | None, width: int = 3) -> int:
+    """Majority bits over the hashes of all shingles; 0 for a text without words."""
+    return majority(shingles(text, width))
+
+
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 3) -> DataFrame:
     """(key, fp long). fp holds the 64 bits in two's complement."""
     tune(docs.sparkSession)
