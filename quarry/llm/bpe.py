@@ -68,7 +68,8 @@ class Transducer:
     tokens encodes to itself: merges inside two neighbours run in the same order with or without the rest.
     So each prefix of a text has one last token, and a state needs only the last emitted token and the bytes
     after it. Once LOOKAHEAD bytes are pending, a token is emitted as soon as every position from which a
-    token may be under way leads back to it. States beyond MAX_STATES are dropped and made anew.
+    token may be under way leads back to it. When MAX_STATES are held, all are dropped; the rest of the piece
+    that overflowed is simulated without keeping states, so memory does not grow with a piece's length.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
@@ -164,7 +165,8 @@ class Transducer:
                 if len(state.pending) >= shared:
                     break
                 if len(self.states) > MAX_STATES:
-                    self.states.clear()
+                    self._reset()
+                    break
                 got = state.next[byte] = self._step(state, byte)
             if got[0]:
                 out += got[0]

@@ -140,6 +140,25 @@ def test_bpe_equals_tiktoken(spark):
         assert out[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
 
 
+def test_a_long_piece_holds_bounded_memory(monkeypatch):
+    """What Python holds after a piece without a blank does not follow its length, beyond the ids."""
+    import tracemalloc
+
+    monkeypatch.setattr(bpe, "MAX_STATES", 2000)
+    path, _ = bpe.public_ranks()
+    ranks = bpe.read_ranks(path)
+    letters = np.random.default_rng(2).integers(97, 123, 40_000, dtype=np.uint8).tobytes()
+    held = []
+    for size in (10_000, 40_000):
+        machine = bpe.Transducer(ranks)
+        tracemalloc.start()
+        ids = machine.encode(letters[:size])
+        held.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert b"".join(machine.tokens[i] for i in ids) == letters[:size] and len(machine.states) <= bpe.MAX_STATES + 1
+    assert held[1] < held[0] + 6e6
+
+
 def test_transducer_on_random_bytes():
     import random
 
@@ -231,7 +250,7 @@ def plain_entropy(s, window=secrets.WINDOW):
 
 
 def test_entropy_and_allow_list(spark):
-    strings = ["Zk3vQ9xT1mB7nW2pL5rC8sD4", "aaaaaaaaaaaaaaaaaaaaaaaa1", "550e8400-e29b-41d4-a716-446655440000", "the-quick-brown-fox-jumps-2024", "exampleZk3vQ9xT1mB7nW2pL5rC8"]
+    strings = ["Zk3vQ9xT1mB7nW2pL5rC8sD4", "aaaaaaaaaaaaaaaaaaaaaaaa1", "550e8400-e29b-41d4-a716-446655440000", "the-quick-brown-fox-jumps-2024", "example-Zk3vQ9xT1mB7nW2pL5rC8"]
     df = spark.createDataFrame(enumerate(strings), "doc_id long, text string")
     got = by_id(df.select("doc_id", secrets.window_entropy(F.col("text")).alias("h")), "doc_id", "h")
     for i, s in enumerate(strings):
