@@ -6,52 +6,54 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import spans as S
+from quarry.llm.shared import named
 
 KINDS = ["assign", "access", "hex", "entropy"]
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]++)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
-#: Candidate strings: a whole run of these characters, at least as long as the window, with a letter and a digit.
-LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
-RUN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{20,}+"
+#: Candidate strings: a whole run of these characters, at least as long as the window.
+RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 WINDOW = 20
-#: Least entropy in bits over the best window, by the characters that the candidate holds.
-CLASSES = [("^[0-9]+$", 9.0), ("^[0-9a-f]+$|^[0-9A-F]+$", 3.0), ("^[a-z0-9]+$|^[A-Z0-9]+$", 3.5), ("", 3.7)]
-#: Forms that are long and varied but no secrets.
+#: Least entropy in bits over the best window of 20 characters (4.32 at most), by the characters that the candidate
+#: holds: digits (3.32 at most), hexadecimal digits (4 at most), letters of one case, letters, letters of one case
+#: with digits, all else. Runs without a digit need more, as long words and names are varied too.
+CLASSES = [("^[0-9]+$", 3.25), ("^[0-9a-f]+$|^[0-9A-F]+$", 3.0), ("^[a-z]+$|^[A-Z]+$", 4.15), ("^[A-Za-z]+$", 4.1), ("^[a-z0-9]+$|^[A-Z0-9]+$", 3.5), ("^[^0-9]+$", 4.1), ("", 3.7)]
+#: Forms that are long and varied but no secrets. Words count only as whole segments.
 ALLOW = [
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"(?i)example|sample|test|dummy|placeholder|lorem",
+    r"(?i)(?<![a-z0-9])(?:example|sample|test|dummy|placeholder|lorem)(?![a-z0-9])",
     r"(?i)0123456789|123456789|abcdefghij|qwertyuiop",
     r"^[A-Za-z]+(?:[-_/][A-Za-z]+)*[-_/]?[0-9]{1,4}$",
     r"^(?:[A-Za-z]+|[0-9]+)(?:[-_/=+]+(?:[A-Za-z]+|[0-9]+))+[-_/=+]*$",
-    r"(.)\1{5}",
 ]
 
 
 def window_entropy(value: Column, window: int = WINDOW) -> Column:
-    """The most Shannon entropy (bits a character) that any window of the string has.
+    """The most Shannon entropy (bits a character) that any whole window of the string has; 0 for a shorter string.
 
-    Counts move with the window: a character enters, one leaves, and the sum of c log2 c changes by those
-    two counts alone.
+    Counts move with the window: one character leaves, one enters, and the sum of c log2 c changes by those two
+    counts alone, which the window itself holds. The work is the length times the window's; the characters are
+    split once and bound to a lambda variable.
     """
-    codes = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(LETTERS), c))
-    weight = F.array(*[F.lit(float(c) * _log2(c)) for c in range(window + 2)])
-
-    def step(state, i):
-        new, old = F.get(codes, i), F.when(i >= window, F.get(codes, i - window)).otherwise(F.lit(-1))
-        counts = state["counts"]
-        came = F.transform(counts, lambda c, k: c + F.when(k == new, 1).otherwise(0))
-        up = F.get(came, new)
-        total = state["total"] + F.get(weight, up) - F.get(weight, up - 1)
-        down = F.when(old >= 0, F.get(came, old)).otherwise(F.lit(1))
-        total = total - F.when(old >= 0, F.get(weight, down) - F.get(weight, down - 1)).otherwise(F.lit(0.0))
-        after = F.transform(came, lambda c, k: c - F.when(k == old, 1).otherwise(0))
-        bits = F.lit(_log2(window)) - total / window
-        best = F.when(i >= window - 1, F.greatest(state["best"], bits)).otherwise(state["best"])
-        return F.struct(after.alias("counts"), total.alias("total"), best.alias("best"))
-
-    begin = F.struct(F.array_repeat(F.lit(0), len(LETTERS) + 1).alias("counts"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best"))
-    return F.aggregate(F.sequence(F.lit(0), F.length(value) - 1), begin, step, lambda s: s["best"])
+    grows = F.array(*[F.lit((c + 1) * _log2(c + 1) - c * _log2(c)) for c in range(window + 1)])
+
+    def best(chars: Column) -> Column:
+        def count(i, first, n):
+            return F.size(F.filter(F.slice(chars, first + 1, n), lambda c: c == F.get(chars, i)))
+
+        def step(state, i):  # each state has the sum after its own character, and the least sum before it
+            leaves = F.get(grows, count(i - window, i - window, F.lit(window)) - 1)
+            enters = F.get(grows, count(i, F.greatest(i - window + 1, F.lit(0)), F.least(i, F.lit(window - 1))))
+            total = F.when(i >= window, state["total"] - leaves).otherwise(state["total"]) + enters
+            least = F.when(i >= window, F.least(state["least"], state["total"])).otherwise(state["least"])
+            return F.struct(total.alias("total"), least.alias("least"))
+
+        begin = F.struct(F.lit(0.0).alias("total"), F.lit(float("inf")).alias("least"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(chars) - 1), begin, step, lambda s: F.lit(_log2(window)) - F.least(s["least"], s["total"]) / window)
+
+    chars = F.filter(F.split(value, ""), lambda c: c != "")
+    return F.when(F.length(value) < window, F.lit(0.0)).otherwise(F.get(F.transform(F.array(chars), best), 0))
 
 
 def _log2(x: float) -> float:
@@ -70,23 +72,27 @@ def high_entropy(value: Column) -> Column:
     return F.when(allowed, F.lit(False)).otherwise(window_entropy(value) >= needed)
 
 
-def scan_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with `base` and `more` added: arrays of (k, start, stop), k being the place in KINDS.
+def scan_secrets(docs: DataFrame, text: str = "text", base: str = "base", more: str = "more") -> DataFrame:
+    """docs with two columns added (any of their names are replaced): arrays of (k, start, stop), k being the place in KINDS.
 
     base: matches of the fixed patterns; more: candidate strings that overlap none of them, have a window of
-    high entropy for their character class and are not on the allow-list. Positions are code points. A null
-    text counts as empty and has none; texts are scanned whole; rows are independent. Long runs of any
-    character are safe: no pattern recurses or rescans a run.
+    high entropy for their character class and are not on the allow-list. Positions are code points. A null or
+    empty text has none; an empty table gives an empty one; repeated rows have equal spans; texts are scanned
+    whole, and time is in proportion to their length, also within one long run. Columns __secret_* are reserved.
     """
-    t = F.col(text)
-    out = S.find(docs, "__assign", text, ASSIGN, t.rlike("(?i:passw|secret|token|api_?key)"), group=2)
-    out = S.find(out, "__access", text, ACCESS, t.contains("AKIA"))
-    out = S.find(out, "__hex", text, HEX, t.rlike(HEX))
-    out = S.find(out, "__run", text, RUN, t.rlike(RUN))
-    out = out.withColumn("__assign", F.filter("__assign", lambda s: F.length(s["part"]) >= 8))
-    out = out.withColumn("base", F.concat(*[S.of_kind(F.col(f"__{k}"), i) for i, k in enumerate(KINDS[:3])]))
-    high = F.filter(S.apart(F.col("__run"), F.col("base")), lambda s: high_entropy(s["hit"]))
-    return out.withColumn("more", S.of_kind(high, 3)).drop("__assign", "__access", "__hex", "__run")
+    t, own = F.col(f"`{text}`"), lambda k: f"__secret_{k}"
+    out = S.find(docs, own("assign"), text, ASSIGN, t.rlike("(?i:passw|secret|token|api_?key)"), group=2)
+    out = S.find(out, own("access"), text, ACCESS, t.contains("AKIA"))
+    out = S.find(out, own("hex"), text, HEX, t.rlike(HEX))
+    out = S.find(out, own("run"), text, RUN, t.rlike(RUN))
+    out = out.withColumn(own("assign"), F.filter(own("assign"), lambda s: F.length(s["part"]) >= 8))
+    out = out.withColumn(own("base"), F.concat(*[S.of_kind(F.col(own(k)), i) for i, k in enumerate(KINDS[:3])]))
+    high = F.filter(S.apart(F.col(own("run")), F.col(own("base"))), lambda s: high_entropy(s["hit"]))
+    out = out.withColumn(own("more"), S.of_kind(high, 3)).drop(*map(own, (*KINDS[:3], "run")))
+    for name, made in ((base, own("base")), (more, own("more"))):
+        if name != made:
+            out = out.drop(name).withColumnRenamed(made, name)
+    return out
 
 
 def secret_spans(docs: DataFrame) -> DataFrame:
@@ -97,15 +103,17 @@ def secret_spans(docs: DataFrame) -> DataFrame:
 
 
 def redact_secrets(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with each secret replaced by a mark; overlapping spans count as one. Null texts stay null."""
-    out = scan_secrets(docs, text).withColumn("__all", F.array_sort(F.transform(F.concat("base", "more"), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop")))))
-    t = F.col(text)
+    """docs with each secret replaced by a mark; overlapping spans count as one. Null texts stay null, all other columns as they are."""
+    out = scan_secrets(docs, text, "__secret_base", "__secret_more")
+    spans = F.array_sort(F.transform(F.concat("__secret_base", "__secret_more"), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"))))
+    (t,) = named(text)
 
     def step(state, s):
         inside = s["start"] < state["at"]
         piece = F.when(inside, F.lit("")).otherwise(F.concat(F.substring(t, state["at"] + 1, s["start"] - state["at"]), F.lit(mark)))
-        return F.struct(F.greatest(state["at"], s["stop"]).alias("at"), F.concat(state["out"], piece).alias("out"))
+        return F.struct(F.greatest(state["at"], s["stop"]).alias("at"), F.concat(state["out"], F.array(piece)).alias("out"))
 
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    new = F.aggregate("__all", begin, step, lambda s: F.concat(s["out"], F.substring(t, s["at"] + 1, F.length(t))))
-    return out.withColumn(text, F.when(F.size("__all") > 0, new).otherwise(t)).select(*docs.columns)
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    new = F.aggregate(spans, begin, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(t, s["at"] + 1, F.length(t))))
+    new = F.when(F.size("__secret_base") + F.size("__secret_more") > 0, new).otherwise(t)
+    return out.select(*[new.alias(c) if c == text else own for c, own in zip(docs.columns, named(*docs.columns), strict=True)])

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -22,9 +22,11 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors see; its own base only where that is unset."""
+    """A new folder under spark.checkpoint.dir, which all executors see; a local master alone has a folder of its own where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.gettempdir()}/quarry-shared"
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
@@ -34,7 +36,22 @@ def kept(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.kept_at = path
+    return table
+
+
+def drop_kept(*tables: DataFrame) -> None:
+    """Delete tables of kept() that no plan reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.kept_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def named(*names: str) -> list[Column]:
+    """Columns by their exact names, whatever characters these hold."""
+    return [F.col(f"`{n.replace('`', '``')}`") for n in names]
 
 
 def partitions(spark: SparkSession) -> int:

@@ -17,7 +17,7 @@ def find(df: DataFrame, name: str, text: str, pattern: str, only: Column, group:
     up to the next match. The text between the matches comes from split(), so starts are running sums of
     lengths. A null text has no matches.
     """
-    t, rows = F.col(text), f"__{name}_rows"
+    t, rows = F.col(f"`{text}`"), f"__{name}_rows"
     gaps, hits = F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(pattern), 0)
     gone = F.lit(None).cast("string")
     made = F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit"), h.alias("part"), gone.alias("after")))
