@@ -16,20 +16,19 @@ from quarry.llm.shared import kept, partitions, shared_dir, tune
 #: What ends a text, and what precedes its first token; no word holds a blank.
 END, BEGIN = b" ", b"  "
 BLOCK_BITS = 15
-PROBES = 4
+PROBES = 5
 
 
 @dataclass(frozen=True)
 class Size:
     """blocks (a power of two, 2 at least) make the filter, each of as many pages of 4 KiB as its n-grams need; room: bits for each
-    insertion; head: unigrams whose exact counts are broadcast; part: bytes of the filter that a worker holds at a time, at
-    least a block. None depends on the corpus; the filter's size does."""
+    insertion; head: unigrams whose exact counts are broadcast; part: bytes of the filter and its contexts that a worker holds at a
+    time, at least a block. None depends on the corpus; the filter's size does."""
 
     blocks: int = 4096
-    room: int = 8
+    room: int = 12
     head: int = 1 << 20
     part: int = 1 << 26
-    weight: float = 0.6
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -63,8 +62,22 @@ def _tokens(texts: list, hashes: _Hashes) -> tuple[np.ndarray, np.ndarray, np.nd
     return now, was, np.array(sizes, dtype=np.int64)
 
 
+def unmix(x: np.ndarray) -> np.ndarray:
+    """The inverse of mix()."""
+    for shift, times in ((31, 0x94D049BB133111EB), (27, 0xBF58476D1CE4E5B9), (30, 1)):
+        x = x ^ (x >> np.uint64(shift)) ^ (x >> np.uint64(min(63, 2 * shift)))
+        x = x * np.uint64(pow(times, -1, 1 << 64))
+    return x
+
+
 def _pair(was: np.ndarray, now: np.ndarray) -> np.ndarray:
-    return mix(was * np.uint64(0x9E3779B97F4A7C15) + now)
+    """A key from the leading 32 bits of two words' hashes, from which the first word's can be had back."""
+    high = np.uint64(32)
+    return mix((was >> high << high) | (now >> high))
+
+
+def _context(word: np.ndarray) -> np.ndarray:
+    return word >> np.uint64(32) << np.uint64(32)
 
 
 def _sum(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +96,8 @@ def _page(h: np.ndarray, blocks: int, pages: np.ndarray) -> np.ndarray:
 def _positions(h: np.ndarray, level: int, page: np.ndarray) -> list[np.ndarray]:
     x = mix(h + np.uint64(level * 0xD1B54A32D192ED03 % (1 << 64)))
     low = np.uint64((1 << BLOCK_BITS) - 1)
-    return [(page << np.uint64(BLOCK_BITS)) + ((x >> np.uint64(i * BLOCK_BITS)) & low) for i in range(PROBES)]
+    step = (x >> np.uint64(32)) | np.uint64(1)
+    return [(page << np.uint64(BLOCK_BITS)) + ((x + np.uint64(i) * step) & low) for i in range(PROBES)]
 
 
 def quantised(n: np.ndarray) -> np.ndarray:
@@ -91,8 +105,15 @@ def quantised(n: np.ndarray) -> np.ndarray:
     return np.frexp(n.astype(np.float64))[1].astype(np.int64)
 
 
-#: The count that a level stands for.
+#: The count that a level stands for; whole numbers.
 COUNTS = np.array([0.0, 1.0, *(1.5 * 2.0 ** (level - 1) for level in range(2, 64))])
+#: A context in a part's list: its key, the quantised counts of all that follows it, and how many different tokens do.
+CONTEXT = np.dtype([("key", "<u8"), ("total", "<f8"), ("kinds", "<i8")])
+
+
+def smoothed(q2: np.ndarray, total: np.ndarray, kinds: np.ndarray, p1: np.ndarray) -> np.ndarray:
+    """Witten-Bell: a token's probability after a context, from quantised counts; over all tokens and the unknown one it sums to 1."""
+    return (np.minimum(q2, total) + kinds * p1) / np.maximum(total + kinds, 1) + (kinds == 0) * p1
 
 
 class LogFilter:
@@ -133,7 +154,8 @@ class LogFilter:
 
 
 def count_ngrams(docs: DataFrame, size: Size) -> DataFrame:
-    """(kind, key, n, bits): kind 1 has each token's exact count; kind 0 each block of the filter and its insertions.
+    """(kind, key, n, m, bits): kind 1 has each token's exact count; kind 0 each block of the filter and its insertions; kind 2 each
+    context with the sum of the quantised counts of what follows it, and m, how many different tokens do, in parts to be summed.
 
     Tasks sum the counts of what they read before the shuffle, so a frequent n-gram is one row a task. Keys are
     dealt by their leading bits, which name the block, so a block is built in one place from all its n-grams. It
@@ -197,7 +219,13 @@ def count_ngrams(docs: DataFrame, size: Size) -> DataFrame:
         words, n = done[0]
         for at in range(0, len(words), 100_000):
             part = words[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), 1, np.int8)), pa.array(part.view(np.int64)), pa.array(n[at : at + 100_000]), pa.nulls(len(part), pa.binary())], names=["kind", "key", "n", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), 1, np.int8)), pa.array(part.view(np.int64)), pa.array(n[at : at + 100_000]), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.binary())], names=["kind", "key", "n", "m", "bits"])
+        contexts, where = np.unique(_context(unmix(done[1][0])), return_inverse=True)
+        totals = np.bincount(where, weights=COUNTS[quantised(done[1][1])], minlength=len(contexts)).astype(np.int64)
+        kinds = np.bincount(where, minlength=len(contexts))
+        for at in range(0, len(contexts), 100_000):
+            part = contexts[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), 2, np.int8)), pa.array(part.view(np.int64)), pa.array(totals[at : at + 100_000]), pa.array(kinds[at : at + 100_000]), pa.nulls(len(part), pa.binary())], names=["kind", "key", "n", "m", "bits"])
         keys, n = np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])
         levels, block = quantised(n), keys >> np.uint64(shift)
         order = np.argsort(block, kind="stable")
@@ -214,16 +242,16 @@ def count_ngrams(docs: DataFrame, size: Size) -> DataFrame:
                 for p in _positions(h[own], level, page[own]):
                     flags[p] = 1
             bits = np.packbits(flags, bitorder="little").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int8()), pa.array([int(block[a])], pa.int64()), pa.array([inserted], pa.int64()), pa.array([bits], pa.binary())], names=["kind", "key", "n", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int8()), pa.array([int(block[a])], pa.int64()), pa.array([inserted], pa.int64()), pa.nulls(1, pa.int64()), pa.array([bits], pa.binary())], names=["kind", "key", "n", "m", "bits"])
 
     counted = docs.select(F.col("text").cast("binary")).mapInArrow(count, "kind byte, key long, n long")
     dealt = counted.repartition(partitions(docs.sparkSession), F.shiftrightunsigned("key", shift))
-    return kept(dealt.mapInArrow(build, "kind byte, key long, n long, bits binary"), "ngrams")
+    return kept(dealt.mapInArrow(build, "kind byte, key long, n long, m long, bits binary"), "ngrams")
 
 
-def _stored(blocks: DataFrame, shift: int) -> dict[int, str]:
-    """Write the blocks of each part (key >> shift) in order to a file in the shared folder: part to its URI."""
-    folder = shared_dir(blocks.sparkSession, "filter")
+def _stored(rows: DataFrame, what: str) -> dict[int, str]:
+    """Write the bytes of each part's rows (part, key, bits), in the order of keys, to a file in the shared folder: part to its URI."""
+    folder = shared_dir(rows.sparkSession, what)
 
     def write(batches):
         import pyarrow as pa
@@ -246,18 +274,41 @@ def _stored(blocks: DataFrame, shift: int) -> dict[int, str]:
             out.close()
         yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.string())], names=["part", "uri"])
 
-    rows = blocks.select(F.shiftright("key", shift).alias("part"), "key", "bits")
-    rows = rows.repartition(partitions(blocks.sparkSession), "part").sortWithinPartitions("part", "key")
+    rows = rows.repartition(partitions(rows.sparkSession), "part").sortWithinPartitions("part", "key")
     return {r["part"]: r["uri"] for r in rows.mapInArrow(write, "part long, uri string").collect()}
 
 
+def _contexts(counts: DataFrame, name: int) -> DataFrame:
+    """(block, key, bits): each context's totals as the bytes of CONTEXT; key is ordered without a sign."""
+    sums = counts.where("kind = 2").groupBy("key").agg(F.sum("n").cast("double").alias("n"), F.sum("m").alias("m"))
+
+    def pack(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = np.zeros(len(batch), dtype=CONTEXT)
+            for field, column in zip(("key", "total", "kinds"), batch.columns, strict=True):
+                values = column.to_numpy(zero_copy_only=False)
+                rows[field] = values.view(np.uint64) if field == "key" else values
+            order = (rows["key"] ^ np.uint64(1 << 63)).view(np.int64)
+            data = rows.tobytes()
+            ends = np.arange(0, len(data) + 1, CONTEXT.itemsize, dtype=np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([pa.array((rows["key"] >> np.uint64(64 - name)).view(np.int64)), pa.array(order), packed], names=["block", "key", "bits"])
+
+    return sums.select("key", "n", "m").mapInArrow(pack, "block long, key long, bits binary")
+
+
 def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "text", size: Size = Size()) -> DataFrame:
     """docs' columns but text, then n_tokens, n_known, train_tokens, base_score and score (columns of these names are replaced).
 
     base_score is exact: the counts of the most frequent tokens are broadcast, up to size.head of them; all
-    others are joined by a shuffle. score interpolates quantised bigram and unigram counts, which workers read
-    from the filter part by part: the parts lie in the shared folder, and a worker holds one of them. A null text counts as empty: one token, the end. Without training texts every
-    count is zero. Repeated rows are scored each for itself.
+    others are joined by a shuffle. score sums the log10 of Witten-Bell probabilities of each token after the one
+    before it, from quantised bigram and unigram counts: those of all tokens and one unknown token sum to 1 in any
+    context, but for the filter's false positives. Workers read the filter part by part: the parts lie in the
+    shared folder, and a worker holds one of them with the totals of its contexts. Texts of any length are scored
+    whole. A null text counts as empty: one token, the end. Without training texts every count is zero and every
+    token's probability 1. Repeated rows are scored each for itself; an empty table gives an empty one.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -280,9 +331,14 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", text:
         pages[r["key"]] = r["size"] >> (BLOCK_BITS - 3)
     name = size.blocks.bit_length() - 1
     shift = name
-    while shift and pages.reshape(-1, 1 << shift).sum(axis=1).max() << (BLOCK_BITS - 3) > size.part:
+    held = pages << (BLOCK_BITS - 3)
+    for r in words.groupBy(F.shiftrightunsigned("key", 64 - name).alias("block")).agg(F.count("*").alias("n")).collect():
+        held[r["block"]] += r["n"] * CONTEXT.itemsize  # a context for each word at most, but for the beginning
+    while shift and held.reshape(-1, 1 << shift).sum(axis=1).max() > size.part:
         shift -= 1
-    stored = _stored(filters, shift)
+    stored = _stored(filters.select(F.shiftright("key", shift).alias("part"), "key", "bits"), "filter")
+    listed = _stored(_contexts(counts, name).select(F.shiftright("block", shift).alias("part"), "key", "bits"), "contexts")
+    ones_total = float(sum(COUNTS[b + 1] * c for b, c in by_log.items()))
     shipped = spark.sparkContext.broadcast((head_keys[order], head_n[order], pages))
     new = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     others = [c for c in docs.columns if c != text and c not in new]
@@ -294,14 +350,19 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", text:
 
         keys, n, pages = shipped.value
         hashes, at = _Hashes(), TaskContext.get().partitionId() << 36
-        loaded: dict[int, LogFilter] = {}
+        loaded: dict[int, tuple[LogFilter, np.ndarray]] = {}
+
+        def read(uri: str | None, kind) -> np.ndarray:
+            if uri is None:
+                return np.zeros(0, dtype=kind)
+            store, place = fs.FileSystem.from_uri(uri)
+            with store.open_input_stream(place) as f:
+                return np.frombuffer(f.read(), dtype=kind)
 
-        def part(k: int) -> LogFilter:
+        def part(k: int) -> tuple[LogFilter, np.ndarray]:
             if k not in loaded:
                 loaded.clear()
-                store, place = fs.FileSystem.from_uri(stored[k])
-                with store.open_input_stream(place) as f:
-                    loaded[k] = LogFilter(np.frombuffer(f.read(), dtype=np.uint8), size.blocks, pages, int(pages[: k << shift].sum()))
+                loaded[k] = LogFilter(read(stored[k], np.uint8), size.blocks, pages, int(pages[: k << shift].sum())), read(listed.get(k), CONTEXT)
             return loaded[k]
 
         def gathered():
@@ -310,7 +371,7 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", text:
             held: list = []
             for batch in batches:
                 now, was, sizes = _tokens(batch.column(batch.num_columns - 1).to_pylist(), hashes)
-                unique, where = np.unique(now, return_inverse=True)
+                unique, where = np.unique(np.r_[now, np.uint64(hashes[BEGIN])], return_inverse=True)
                 held.append((batch.columns[:-1], now, was, sizes, unique, where.astype(np.int32)))
                 if len(stored) < 2 or sum(len(x[1]) for x in held) >= 4_000_000:
                     yield from looked_up(held)
@@ -319,25 +380,33 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", text:
 
         def looked_up(held: list):
             ones, twos = ([np.zeros(len(x[i]), dtype=np.uint8) for x in held] for i in (4, 1))
+            after = [np.zeros((2, len(x[4]))) for x in held]
             for k in sorted(stored, key=lambda k: k not in loaded) if held else ():
-                for x, one, two in zip(held, ones, twos, strict=True):
+                for x, one, two, sums in zip(held, ones, twos, after, strict=True):
                     for h, level in ((x[4], one), (_pair(x[2], x[1]), two)):
                         own = np.flatnonzero(h >> np.uint64(64 - name) >> np.uint64(shift) == k) if len(stored) > 1 else slice(None)
-                        level[own] = part(k).levels(h[own])
-            for x, one, two in zip(held, ones, twos, strict=True):
-                yield *x, COUNTS[one], COUNTS[two]
-
-        for columns, now, _, sizes, unique, where, one, two in gathered():
+                        level[own] = part(k)[0].levels(h[own])
+                    contexts, u = part(k)[1], _context(x[4])
+                    if len(contexts):
+                        place = np.minimum(np.searchsorted(contexts["key"], u), len(contexts) - 1)
+                        found = contexts["key"][place] == u
+                        sums[:, found] = contexts["total"][place[found]], contexts["kinds"][place[found]]
+            for x, one, two, sums in zip(held, ones, twos, after, strict=True):
+                yield *x, COUNTS[one], COUNTS[two], sums
+
+        for columns, now, _, sizes, unique, where, one, two, after in gathered():
+            begin, where = where[-1], where[:-1]
             c, found = np.zeros(len(unique)), np.zeros(len(unique), dtype=bool)
             if len(keys):
                 place = np.minimum(np.searchsorted(keys, unique), len(keys) - 1)
                 found = keys[place] == unique
                 c[found] = n[place[found]]
             first = np.cumsum(np.r_[0, sizes[:-1]])
-            before = np.empty(len(now))
-            before[1:] = one[where[:-1]]
-            before[first] = one[np.searchsorted(unique, np.uint64(hashes[END]))]  # as many texts begin as end
-            p = size.weight * np.where(two > 0, two / np.maximum(np.maximum(before, two), 1), 0) + (1 - size.weight) * (one[where] + 1) / (n_all + kinds + 1)
+            u = np.empty(len(now), dtype=np.int32)  # the place of the token before, among the different ones
+            u[1:] = where[:-1]
+            u[first] = begin
+            p1 = (one[where] + 1) / (ones_total + kinds + 1)
+            p = smoothed(np.where(one[where] > 0, two, 0), after[0][u], after[1][u], p1)
             rest = ~found[where]
             tails = np.add.reduceat(rest.astype(np.int64), first)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(tails)].astype(np.int32)), pa.array(now[rest].view(np.int64)))
