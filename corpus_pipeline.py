@@ -10,13 +10,15 @@ from quarry.llm.decontam import decontaminate
 from quarry.llm.langid import fold, identify, train
 from quarry.llm.neardup import jaccard_dedup
 from quarry.llm.secrets import redact_secrets
-from quarry.llm.shared import kept
+from quarry.llm.shared import drop_kept, kept, named
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language can be told (no letter, or a null text) go."""
+    """Documents in which no language can be told go: those without a letter (null and empty texts too), and those that even the
+    best language's trees code in more than 7 bits a byte, such as texts of other scripts. Texts of any length are coded whole,
+    repeated rows have one fate, an empty table gives an empty one."""
     trees = train(docs.where(fold("doc_id", 5) != 0))
-    return identify(docs, trees).where("lang_pred != 'und'").select(*docs.columns)
+    return identify(docs, trees, most_bits=7.0, pred="__lang", share="__share").where("__lang != 'und'").select(*named(*docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,17 +27,20 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, verbatim or reworded, go."""
+    """Documents that hold a benchmark item, verbatim or reworded, go; null and empty texts hold none, repeated rows have one fate.
+    Long texts are searched whole. An empty table gives an empty one, an empty benchmark leaves all."""
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays, with each secret in it replaced by a mark; n_chars is that of the new text."""
-    return redact_secrets(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Every document stays, with each secret in it replaced by a mark; n_chars is that of the new text. Null and empty texts stay as
+    they are, repeated rows are treated alike, long texts are scanned whole, an empty table gives an empty one."""
+    return redact_secrets(docs).withColumn("n_chars", F.length("text").cast("long")).select(*named(*docs.columns))
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, token_ids and the digests of the ids and of the decoded text."""
+    """doc_id, lang, source, n_tokens, token_ids and the digests of the ids and of the decoded text; a null text counts as empty.
+    Texts of any length are encoded whole, each row for itself; an empty table gives an empty one."""
     return bpe_encode(docs.select("doc_id", "lang", "source", "text"), *public_ranks())
 
 
@@ -53,6 +58,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = kept(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            drop_kept(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
