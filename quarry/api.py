@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import os
-import shutil
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry import schema
-from quarry.functions.text import normalise_path
+from quarry.functions.text import name_column, normalise_path
 from quarry.operators import analyses as N
 from quarry.operators import edges as E
 from quarry.operators import graph as G
 from quarry.operators import lookups as L
 from quarry.plans.build import build_tables
-from quarry.sources import catalog, scan
+from quarry.plans.runtime import settled
+from quarry.sources import catalog, lsp, scan
 
 
 class NotFound(LookupError):
@@ -37,10 +35,28 @@ class Index:
         """With a language server's answers as rows (ref_path, ref_line, ref_column, def_path, def_line)."""
         return Index(self.spark, self.root, self.folder, definitions)
 
+    def ask_server(self, command: list[str], language: str = "rust", timeout: float = 60.0, servers: int = 1) -> DataFrame:
+        """A language server's answers for all references of a language that are not bound, for with_lsp(). `servers` run side by side, each for files of its own."""
+        refs = self.refs.where("symbol_id is null").join(self.files.where(F.col("language") == language).select(F.col("id").alias("file_id"), "path"), "file_id")
+        return lsp.definitions(refs.select("path", "line", "column"), self.root, command, language, timeout, servers)
+
+    def get_lsp_callers(self, qualified_name: str, command: list[str], timeout: float = 60.0) -> DataFrame:
+        """Direct callers, with those that a language server finds in its references to the symbol."""
+        row = self.symbols.join(self.files.select(F.col("id").alias("file_id"), "path", "language"), "file_id").where(F.col("id") == self._symbol_id(qualified_name)).first()
+        text = self._text().where(F.col("path") == row["path"]).select(F.element_at(F.split("content", "\n"), F.lit(row["line"])).alias("line")).first()
+        column = name_column(text["line"] if text else "", row["name"], row["column"])
+        found = lsp.references(self.spark, self.root, command, row["language"], row["path"], row["line"], column, timeout)
+        sites = found.join(self.files.select("path", F.col("id").alias("file_id")), "path").select("file_id", "line")
+        return self.get_callers(qualified_name, sites=sites)
+
     def index(self, languages: list[str] | None = None) -> dict:
         """Build or replace the index, of some languages only if they are given; gives counts and the files that could not be read."""
         sources = scan.scan_sources(self.spark, self.root).where(F.col("language").isin(languages)) if languages else None
-        tables, errors = build_tables(self.spark, self.root, sources, self.definitions)
+        return self._store(*build_tables(self.spark, self.root, sources, self.definitions))
+
+    index_with_options = index
+
+    def _store(self, tables: dict[str, DataFrame], errors: DataFrame) -> dict:
         catalog.save(tables, self.folder)
         self._tables = None
         return {"files": self.files.count(), "symbols": self.symbols.count(), "refs": self.refs.count(), "errors": [(r["path"], r["reason"]) for r in errors.collect()]}
@@ -49,23 +65,54 @@ class Index:
         self.remove_index_files()
         return self.index(languages)
 
+    rebuild_with_options = rebuild
+
     def update(self) -> dict:
-        """Index anew if anything has changed."""
-        return self.index() if self.needs_update() else {}
+        """Take in what has changed since: only new and modified files are extracted again, deleted ones go with all that hangs on them.
+
+        References are bound anew over all files, as a new symbol may be what an old reference means. The tables are
+        replaced as a whole. Nothing is written if nothing has changed.
+        """
+        stale = settled(N.staleness(self.files, self._disk()), "stale")
+        if stale.isEmpty():
+            return {}
+        sources = scan.scan_sources(self.spark, self.root).join(stale.where("status != 'deleted'").select("path"), "path", "left_semi")
+        reused = self.tables["extracted"].join(stale.select("path"), "path", "left_anti")
+        return self._store(*build_tables(self.spark, self.root, sources, self.definitions, reused))
+
+    def delete_files(self, paths: list[str]) -> int:
+        """Take files out of the index, with their symbols, references from and to these, and edges; gives how many there were."""
+        return self._without(self.files.where(F.col("path").isin([self._path(p) for p in paths])))
+
+    def purge_orphan_files(self) -> int:
+        """Take out files that are no longer on disk; gives how many there were."""
+        gone = N.staleness(self.files, self._disk()).where("status = 'deleted'").select("path")
+        return self._without(self.files.join(gone, "path", "left_semi"))
+
+    def _without(self, files: DataFrame) -> int:
+        gone = settled(files.select(F.col("id").alias("file_id")), "gone")
+        n = gone.count()
+        if n:
+            catalog.save(catalog.without_files(self.tables, gone), self.folder)
+            self._tables = None
+        return n
 
     def remove_index_files(self) -> None:
-        folder = self.folder.removeprefix("file://")
-        if os.path.isdir(folder):
-            shutil.rmtree(folder)
+        catalog.remove(self.spark, self.folder)
         self._tables = None
 
     def db_path(self) -> str:
         return self.folder
 
     def vacuum(self) -> None:
+        """Rewrite the tables in few sorted files and delete older generations."""
         catalog.compact(self.tables, self.folder)
         self._tables = None
 
+    def analyze(self) -> DataFrame:
+        """(relation, column, rows, nulls, distinct)."""
+        return catalog.analyze({n: self.tables[n] for n in schema.TABLES})
+
     @property
     def tables(self) -> dict[str, DataFrame]:
         if self._tables is None:
@@ -99,6 +146,13 @@ class Index:
     def get_file(self, path: str) -> DataFrame:
         return self.files.where(F.col("path") == self._path(path))
 
+    def get_file_id(self, path: str) -> int | None:
+        row = self.get_file(path).select("id").first()
+        return row and row["id"]
+
+    def get_files_by_ids(self, ids: list[int]) -> DataFrame:
+        return self.files.join(F.broadcast(self.spark.createDataFrame([(i,) for i in ids], "id long").distinct()), "id", "left_semi").orderBy("path")
+
     def get_file_by_id(self, file_id: int) -> DataFrame:
         return self.files.where(F.col("id") == file_id)
 
@@ -204,7 +258,7 @@ class Index:
         return chain.join(names, "node").select("position", F.col("name").alias("path")).orderBy("position")
 
     def detect_cycles(self) -> DataFrame:
-        return G.detect_cycles(self.file_deps, self.files).orderBy("cycle")
+        return G.ordered_cycles(G.detect_cycles(self.file_deps, self.files)).orderBy("cycle")
 
     def get_type_hierarchy(self, name: str, direction: str = "up") -> DataFrame:
         return G.type_hierarchy(name, direction, self.refs, self.symbols).orderBy("depth", "name")
@@ -253,6 +307,11 @@ class Index:
     def _text(self) -> DataFrame:
         return scan.split_valid(scan.scan_sources(self.spark, self.root))[0].select("path", "language", F.col("text").alias("content"))
 
+    def dead_code_summary(self) -> dict[str, int]:
+        """How many candidates each tier has, whatever limit find_dead_code() is given."""
+        found = N.tiered_dead_code(N.dead_code(self.symbols, self.refs, self.files), self._text())
+        return {"definite": 0, "maybe": 0} | {r["tier"]: r["count"] for r in found.groupBy("tier").count().collect()}
+
     def find_dead_code(self, limit: int | None = None) -> DataFrame:
         found = N.tiered_dead_code(N.dead_code(self.symbols, self.refs, self.files), self._text()).orderBy("path", "line", "name")
         return found if limit is None else found.limit(limit)

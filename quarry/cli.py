@@ -1,8 +1,10 @@
-"""Command line: one subcommand for each query; results as JSON lines."""
+"""Command line: one subcommand for each query; results as JSON lines, as one JSON document (--json) or as text (--text)."""
 
 from __future__ import annotations
 
 import argparse
+import json
+import shlex
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,11 @@ from quarry.api import Index, NotFound
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="quarry")
     p.add_argument("--root", default=".")
+    p.add_argument("--lsp", help="command line of a language server, for index, callers and references that the index cannot bind")
+    p.add_argument("--lsp-timeout", type=float, default=60.0)
+    form = p.add_mutually_exclusive_group()
+    form.add_argument("--json", action="store_true")
+    form.add_argument("--text", action="store_true")
     sub = p.add_subparsers(dest="command", required=True)
 
     def command(name: str, *args: tuple) -> None:
@@ -21,7 +28,7 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument(*names, **options)
 
     flag = {"action": "store_true"}
-    command("index", (["--rebuild"], flag))
+    command("index", (["--rebuild"], flag), (["--update"], flag), (["--purge"], flag), (["--language"], {"action": "append"}))
     command("search", (["query"], {}), (["-k", "--kind"], {}), (["-l", "--limit"], {"type": int, "default": 20}))
     command("callers", (["symbol"], {}), (["-t", "--transitive"], flag), (["-d", "--depth"], {"type": int, "default": 50}), (["--exclude-speculative"], flag))
     command("impact", (["target"], {}), (["-s", "--symbol"], flag), (["-d", "--depth"], {"type": int, "default": 50}))
@@ -40,9 +47,40 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def show(df: DataFrame) -> None:
-    for line in df.toJSON().toLocalIterator():
-        print(line)
+def plain(value) -> str:
+    """A cell of a text table."""
+    if value is None:
+        return "-"
+    if isinstance(value, bool):
+        return "yes" if value else "no"
+    if isinstance(value, float):
+        return f"{value:.2f}"
+    return " -> ".join(map(plain, value)) if isinstance(value, list) else str(value)
+
+
+def text_lines(rows: list[dict]) -> list[str]:
+    """A table with a heading; rows that have a depth stand below one line for each depth."""
+    if not rows:
+        return ["nothing found"]
+    names = [n for n in rows[0] if n != "depth"]
+    width = {n: max(len(n), *(len(plain(r[n])) for r in rows)) for n in names}
+    out, depth = ["  ".join(n.ljust(width[n]) for n in names).rstrip()], None
+    for r in rows:
+        if r.get("depth", depth) != depth:
+            depth = r["depth"]
+            out.append(f"depth {depth}")
+        out.append("  ".join(plain(r[n]).ljust(width[n]) for n in names).rstrip())
+    return out
+
+
+def render(df: DataFrame, form: str = "lines") -> None:
+    """Rows as they come, one JSON object a line; the other two forms are made of all rows at once, for answers that a person reads."""
+    if form == "lines":
+        for line in df.toJSON().toLocalIterator():
+            print(line)
+        return
+    rows = [{n: r.get(n) for n in df.columns} for r in map(json.loads, df.toJSON().toLocalIterator())]
+    print(json.dumps(rows, indent=2, ensure_ascii=False) if form == "json" else "\n".join(text_lines(rows)))
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -57,13 +95,28 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
 
 
 def run(index: Index, a: argparse.Namespace) -> int:
+    form = "json" if a.json else "text" if a.text else "lines"
+
+    def show(df: DataFrame) -> None:
+        render(df, form)
+
+    server = shlex.split(a.lsp) if a.lsp else None
     match a.command:
         case "index":
-            print(index.rebuild() if a.rebuild else index.index())
+            if a.purge:
+                print({"purged": index.purge_orphan_files()})
+                return 0
+            report = index.update() if a.update else index.rebuild(a.language) if a.rebuild else index.index(a.language)
+            if server:
+                report = index.with_lsp(index.ask_server(server, timeout=a.lsp_timeout)).index(a.language)
+            print(json.dumps(report) if a.json else report)
         case "search":
             show(index.search_symbols(a.query, 100, a.kind).limit(a.limit))
         case "callers":
-            show(index.get_symbol_impact(a.symbol, a.depth, a.exclude_speculative) if a.transitive else index.get_callers(a.symbol, a.exclude_speculative))
+            if server and not (a.transitive or a.exclude_speculative):
+                show(index.get_lsp_callers(a.symbol, server, a.lsp_timeout))
+            else:
+                show(index.get_symbol_impact(a.symbol, a.depth, a.exclude_speculative) if a.transitive else index.get_callers(a.symbol, a.exclude_speculative))
         case "impact":
             show(index.get_symbol_impact(a.target, a.depth) if a.symbol else index.get_impact(a.target, a.depth))
         case "coupling":
@@ -95,6 +148,9 @@ def run(index: Index, a: argparse.Namespace) -> int:
             return 0 if told else 2
         case "dead-code":
             show(index.find_dead_code(a.limit))
+            if a.limit is not None:
+                tiers = index.dead_code_summary()
+                print(f"{tiers['definite']} definite, {tiers['maybe']} maybe; at most {a.limit} shown", file=sys.stderr)
         case "hierarchy":
             show(index.get_type_hierarchy(a.name, a.direction))
     return 0

@@ -271,7 +271,8 @@ class Scanner:
                 self.ref(j, self.at(j), "construct", [self.at(x) for x in range(i + 1, j, 2)], owner)
                 i = j + 1
                 continue
-            if self.kind(i) != "ident" or (t in KEYWORDS and t not in ("this", "base")) or self.at(i - 1) == ".":
+            member = self.at(i - 1) == "."  # of what a call, a creation or an index gives, which names no path
+            if self.kind(i) != "ident" or (t in KEYWORDS and t not in ("this", "base")) or (member and self.at(i - 3 if self.at(i - 2) == "?" else i - 2) not in (")", "]")):
                 i += 1
                 continue
             chain, j = [i], i
@@ -287,7 +288,7 @@ class Scanner:
                 if names[-1] not in KEYWORDS:
                     self.ref(chain[-1], names[-1], "call", path, owner)
             else:
-                for n in range(1, len(names)):
+                for n in range(0 if member else 1, len(names)):
                     self.ref(chain[n], names[n], "field_access", names[:n], owner)
             i = chain[-1] + 1
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.extract import csharp, rust
@@ -19,6 +19,7 @@ SPAN = "struct<line:int,column:int,end_line:int,end_column:int>"
 SYMBOL = "array<struct<name:string,kind:string,visibility:string,parent_name:string,signature:string,line:int,column:int,end_line:int,end_column:int,is_test:boolean,attributes:array<struct<name:string,args:string,line:int>>>>"
 REF = f"array<struct<name:string,kind:string,path:array<string>,line:int,column:int,owner:{SPAN},anchor:string>>"
 IMPORT = "array<struct<module:string,name:string,alias:string,line:int,public:boolean>>"
+EXTRACTED = f"path string, language string, mtime_ns long, size_bytes long, symbols {SYMBOL}, refs {REF}, imports {IMPORT}, error string"
 
 
 def extract_files(files: DataFrame) -> DataFrame:
@@ -41,7 +42,7 @@ def extract_files(files: DataFrame) -> DataFrame:
             yield batch.drop(columns="text").assign(**{n: [r[k] for r in rows] for k, n in enumerate(("symbols", "refs", "imports", "error"))})
 
     source = files.select("path", "language", "mtime_ns", "size_bytes", "text")
-    return source.mapInPandas(run, f"path string, language string, mtime_ns long, size_bytes long, symbols {SYMBOL}, refs {REF}, imports {IMPORT}, error string")
+    return source.mapInPandas(run, EXTRACTED)
 
 
 def numbered(df: DataFrame, key: str) -> DataFrame:
@@ -54,8 +55,13 @@ def numbered(df: DataFrame, key: str) -> DataFrame:
     return ranges.withColumn("place", place).join(F.broadcast(offsets), "part").select(*df.columns, (F.col("offset") + F.col("place")).cast("long").alias("id"))
 
 
+def _place(file_id: str, n: str) -> Column:
+    return F.shiftleft(file_id, 32).bitwiseOR(F.col(n).cast("long"))
+
+
 def first_pass(extracted: DataFrame, modules: DataFrame | None = None) -> dict[str, DataFrame]:
-    """files, symbols, refs, imports and attributes. Ids come from the order of paths and of places in a file, so every run gives the same.
+    """files, symbols, refs, imports and attributes. Ids come from the order of paths and of places in a file, so every run gives the same:
+    an id is its file's in the upper 32 bits and its place in the file, which an array's length bounds, in the lower.
 
     modules: (path, module_path).
     """
@@ -65,18 +71,19 @@ def first_pass(extracted: DataFrame, modules: DataFrame | None = None) -> dict[s
     rows = extracted.join(numbered(extracted.select("path").distinct(), "path"), "path")
     files = rows.select("id", "path", "language", "mtime_ns", "size_bytes", F.lit(None).cast("long").alias("content_hash"), (F.unix_micros(F.current_timestamp()) * 1000).alias("indexed_at"))
     flat = rows.select(F.col("id").alias("file_id"), "path", F.posexplode("symbols").alias("n", "s"))
-    flat = flat.select("file_id", "path", F.shiftleft("file_id", 20).bitwiseOR(F.col("n").cast("long")).alias("id"), "s.*")
+    flat = flat.select("file_id", "path", _place("file_id", "n").alias("id"), "s.*")
     flat = flat.withColumn("qualified_name", F.concat_ws("::", "parent_name", "name"))
     parents = parent_links(flat)
     flat = flat.join(parents, "id", "left")
     flat = flat.join(modules, "path", "left") if modules is not None else flat.withColumn("module_path", F.lit(""))
     symbols = flat.select("id", "file_id", "name", F.coalesce("module_path", F.lit("")).alias("module_path"), "qualified_name", "kind", "line", "column", "end_line", "end_column", "signature", "visibility", "parent_symbol_id", "is_test")
-    attributes = flat.select(F.col("id").alias("symbol_id"), F.posexplode("attributes").alias("n", "a")).select(F.shiftleft("symbol_id", 8).bitwiseOR(F.col("n").cast("long")).alias("id"), "symbol_id", "a.name", "a.args", "a.line")
+    own = F.flatten(F.transform("symbols", lambda s, i: F.transform(s["attributes"], lambda a: F.struct(i.alias("s"), a["name"].alias("name"), a["args"].alias("args"), a["line"].alias("line")))))
+    attributes = rows.select(F.col("id").alias("file_id"), F.posexplode(own).alias("n", "a")).select(_place("file_id", "n").alias("id"), _place("file_id", "a.s").alias("symbol_id"), "a.name", "a.args", "a.line")
     named = F.concat_ws("::", "r.path", "r.name")
     refs = rows.select(F.col("id").alias("file_id"), "language", F.posexplode("refs").alias("n", "r"))
     # a supertype is bound by its own name; its path only anchors the subtype
     full = F.when(F.col("r.anchor").isNotNull() | ((F.col("r.kind") == "inherit") & (F.col("language") == "rust")), F.col("r.name")).otherwise(named)
-    refs = refs.select(F.shiftleft("file_id", 24).bitwiseOR(F.col("n").cast("long")).alias("id"), "file_id", "r.kind", "r.line", "r.column", "r.owner", "r.anchor", full.alias("reference_name"))
+    refs = refs.select(_place("file_id", "n").alias("id"), "file_id", "r.kind", "r.line", "r.column", "r.owner", "r.anchor", full.alias("reference_name"))
     spans = symbols.groupBy("file_id", "line", "column", "end_line", "end_column").agg(F.max("id").alias("in_symbol_id"))
     refs = refs.select("*", *[F.col(f"owner.{c}").alias(f"o_{c}") for c in ("line", "column", "end_line", "end_column")])
     on = spans.select("file_id", *[F.col(c).alias(f"o_{c}") for c in ("line", "column", "end_line", "end_column")], "in_symbol_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -36,6 +37,57 @@ def word_count(text: Column, word: str) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(rf"(?<![A-Za-z0-9_]){word}(?![A-Za-z0-9_])"), 0))
 
 
+def utf16_column(line: Column, column: Column) -> Column:
+    """A column in bytes of UTF-8, from 1, as one in UTF-16 units, from 0."""
+    before = F.substring(F.encode(line, "utf-8"), F.lit(1), column - 1).cast("string")
+    return F.length(before) + F.length(F.regexp_replace(before, r"[^\x{10000}-\x{10FFFF}]", ""))
+
+
+def utf16_of(line: str, column: int) -> int:
+    return len(line.encode()[: column - 1].decode("utf-8", "ignore").encode("utf-16-le")) // 2
+
+
+def from_utf16(line: str, units: int) -> int:
+    """A column in UTF-16 units, from 0, as one in bytes of UTF-8, from 1."""
+    return len(line.encode("utf-16-le")[: 2 * units].decode("utf-16-le", "ignore").encode()) + 1
+
+
+def name_column(line: str, name: str, column: int) -> int:
+    """The byte column of a declared name in its first line: its first whole occurrence at or after the declaration's own column."""
+    data, word = line.encode(), re.escape(name.encode())
+    found = re.compile(rb"(?<![A-Za-z0-9_])" + word + rb"(?![A-Za-z0-9_])").search(data, max(0, column - 1))
+    return found.start() + 1 if found else column
+
+
+def rounded(value: Column, digits: int = 2) -> Column:
+    """Half away from zero, as a decimal text of so many digits."""
+    return F.format_string(f"%.{digits}f", F.round(value, digits).cast("double"))
+
+
+def bar(share: Column, width: int = 10) -> Column:
+    """A share from 0 to 1 as a bar of full and light blocks."""
+    full = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)) * width).cast("int")
+    return F.concat(F.repeat(F.lit("█"), full), F.repeat(F.lit("░"), F.lit(width) - full))
+
+
+#: What stands between the brackets of a signature's parameters, brackets within them balanced two deep.
+PARAMETERS = r"^[^(]*\(((?:[^()]|\((?:[^()]|\([^()]*\))*\))*)\)"
+
+
+def parameter_count(signature: Column) -> Column:
+    """Parameters of a signature, self not counted: top-level commas part them."""
+    inner = F.regexp_extract(signature, PARAMETERS, 1)
+    for _ in range(4):  # nested brackets go from the inside out
+        inner = F.regexp_replace(inner, r"\([^()]*\)|\[[^\[\]]*\]|<[^<>]*>|\{[^{}]*\}", "")
+    parts = F.filter(F.transform(F.split(inner, ","), F.trim), lambda p: (p != "") & ~p.rlike(r"^(&\s*('[A-Za-z_]+\s+)?)?(mut\s+)?self(\s*:.*)?$"))
+    return F.when(signature.contains("("), F.size(parts))
+
+
+def returns_result(signature: Column) -> Column:
+    """Whether a signature's return type, which follows the parameters with or without an arrow, is a Result."""
+    return F.regexp_replace(signature, PARAMETERS + r"\s*(?:->)?\s*", "").rlike(r"^(?:[A-Za-z_][A-Za-z0-9_]*::)*[A-Za-z_]*Result\b")
+
+
 def ancestors(path: Column) -> Column:
     """The folders above a path, the nearest last; the root is the empty string."""
     parts = F.split(path, "/")
@@ -106,5 +158,4 @@ def deprecation_columns(name: Column | str, args: Column | str) -> Column:
     def parse(name: pd.Series, args: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([deprecation(n, a) for n, a in zip(name, args, strict=True)], columns=["since", "note"])
 
-    kind = "struct<since:string,note:string>"
-    return F.pandas_udf(parse, kind, F.PandasUDFType.SCALAR)(name, args)
+    return F.pandas_udf(parse, "struct<since:string,note:string>")(name, args)

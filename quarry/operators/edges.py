@@ -37,12 +37,13 @@ def imported_crates(imports: DataFrame, crates: DataFrame) -> DataFrame:
     return named.join(known, "segment").select("file_id", F.col("name").alias("crate")).distinct()
 
 
-def csharp_corroboration(imports: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
-    """(from_file_id, to_file_id): C# files that use a namespace another one declares."""
+def csharp_corroboration(pairs: DataFrame, imports: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """(from_file_id, to_file_id): pairs of C# files of which the first uses a namespace that the second declares."""
     cs = files.where("language = 'csharp'").select(F.col("id").alias("file_id"))
     uses = imports.join(cs, "file_id", "left_semi").select(F.col("file_id").alias("from_file_id"), F.col("source_module").alias("namespace")).distinct()
     spaces = symbols.where("kind = 'module'").join(cs, "file_id", "left_semi").select(F.col("file_id").alias("to_file_id"), F.col("name").alias("namespace")).distinct()
-    return uses.join(spaces, "namespace").select("from_file_id", "to_file_id").distinct()
+    named = pairs.select("from_file_id", "to_file_id").distinct().join(uses, "from_file_id")
+    return named.join(spaces, ["to_file_id", "namespace"], "left_semi").select("from_file_id", "to_file_id").distinct()
 
 
 def corroborated(pairs: DataFrame, file_crates: DataFrame, crate_imports: DataFrame, namespaces: DataFrame | None = None) -> DataFrame:
@@ -73,6 +74,11 @@ def import_dependencies(imports: DataFrame, referenced: DataFrame, module_files:
     return out.withColumn("ref_count", F.lit(1))
 
 
+def unresolved_dependencies(imports: DataFrame, module_files: DataFrame) -> DataFrame:
+    """(file_id, source_module): imports of modules that no file of the index has, such as those of other libraries."""
+    return imports.join(module_files.select(F.col("module").alias("source_module")), "source_module", "left_anti").select("file_id", "source_module").distinct()
+
+
 def merged(*deps: DataFrame) -> DataFrame:
     """Dependencies of several sources; counts add up."""
     out = deps[0]

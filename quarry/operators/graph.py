@@ -254,12 +254,12 @@ def simple_cycles(nodes: list, out: dict) -> Iterator[list]:
 
 
 def detect_cycles(deps: DataFrame, files: DataFrame) -> DataFrame:
-    """(cycle, ids, paths, length): every simple directed cycle of file dependencies, self-loops included.
+    """(ids, paths, length): every simple directed cycle of file dependencies, self-loops included.
 
-    A cycle starts at its least path; paths compare part by part, as in split(path, '/'), and so do cycles. An
-    edge to a file that is not there is an error. cycle is the place in that order.
+    A cycle starts at its least path; paths compare part by part, as in split(path, '/'). An edge to a file that is
+    not there is an error.
     """
-    e = deps.select(F.col("from_file_id").alias("src"), F.col("to_file_id").alias("dst")).distinct()
+    e = settled(deps.select(F.col("from_file_id").alias("src"), F.col("to_file_id").alias("dst")).distinct(), "deps")
     known = files.select(F.col("id").alias("dst"))
     lost = e.join(known, "dst", "left_anti").unionByName(e.join(known.withColumnRenamed("dst", "src"), "src", "left_anti"))
     if not lost.isEmpty():
@@ -282,9 +282,15 @@ def detect_cycles(deps: DataFrame, files: DataFrame) -> DataFrame:
         rows = [(c, [path[n] for n in c]) for c in simple_cycles(nodes, out)]
         return pd.DataFrame({"ids": [r[0] for r in rows], "paths": [r[1] for r in rows]})
 
-    found = inner.groupBy("scc").applyInPandas(run, "ids array<long>, paths array<string>")
-    key = F.transform("paths", lambda p: F.split(p, "/"))
-    return found.withColumn("length", F.size("paths")).withColumn("cycle", F.row_number().over(Window.orderBy(key)))
+    return inner.groupBy("scc").applyInPandas(run, "ids array<long>, paths array<string>").withColumn("length", F.size("paths"))
+
+
+def ordered_cycles(found: DataFrame) -> DataFrame:
+    """detect_cycles() with cycle, the place of each in the order of their paths, by ranges of these and not in one task."""
+    from quarry.extract.stage import numbered
+
+    rows = found.withColumn("key", F.transform("paths", lambda p: F.split(p, "/")))
+    return numbered(rows, "key").withColumn("cycle", F.col("id").cast("int")).drop("key", "id")
 
 
 def type_hierarchy(name: str, direction: str, refs: DataFrame, symbols: DataFrame, max_depth: int = DEFAULT_DEPTH) -> DataFrame:

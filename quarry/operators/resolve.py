@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import first_segment, is_qualified, last_segment
 from quarry.operators.lookups import first_of
-from quarry.plans.runtime import settled
 from quarry.schema import CONTAINERS, DATA_MEMBERS
 
 ARMS = ["explicit_import", "glob_import", "import_union", "qualified_exact", "same_crate", "unique_workspace", "qualified_module_fallback"]
@@ -57,34 +56,43 @@ def bind_same_file(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     return out.withColumn("symbol_id", found).withColumn("strategy", F.when(found.isNotNull(), "same_file")).drop("macro", "member", "plain", "full", "box")
 
 
-def _in_file(keys: DataFrame, symbols: DataFrame) -> DataFrame:
-    """keys (file_id, name, target_file, target) with symbol_id: the least id of that exact name, else of a qualified name that ends in it."""
+def _in_file(keys: DataFrame, symbols: DataFrame, qualified: Column) -> DataFrame:
+    """keys (file_id, name, target_file, target, ..) with symbol_id: the least id in the target file whose qualified name, or else whose name, is the target."""
     s = symbols.select(F.col("file_id").alias("target_file"), F.col("name").alias("last"), "qualified_name", "id")
-    out = keys.withColumn("last", last_segment(F.col("target"))).join(s, ["target_file", "last"])
-    exact = F.col("last") == F.col("target")
-    out = out.where(exact | (F.col("qualified_name") == F.col("target")) | F.col("qualified_name").endswith(F.concat(F.lit("::"), F.col("target"))))
+    out = keys.withColumns({"last": last_segment(F.col("target")), "whole": qualified}).join(s, ["target_file", "last"])
+    out = out.where(F.when(F.col("whole"), F.col("qualified_name") == F.col("target")).otherwise(F.col("last") == F.col("target")))
     return out.groupBy(*keys.columns).agg(F.min("id").alias("symbol_id"))
 
 
+def _written(imports: DataFrame) -> DataFrame:
+    """imports with `written`, the module as it stands in the source, by which they are ordered; source_module may be resolved further."""
+    return imports if "written" in imports.columns else imports.withColumn("written", F.col("source_module"))
+
+
 def explicit_import(names: DataFrame, imports: DataFrame, module_files: DataFrame, symbols: DataFrame) -> DataFrame:
     """(file_id, name, symbol_id): the first segment is an imported name or its alias; of several imports the last by module and name counts."""
-    named = imports.where("symbol_name != '*'").withColumn("key", F.coalesce("alias", "symbol_name"))
-    named = first_of(named, ["file_id", "key"], [F.desc("source_module"), F.desc("symbol_name")])
+    named = _written(imports).where("symbol_name != '*'").withColumn("key", F.coalesce("alias", "symbol_name"))
+    named = first_of(named, ["file_id", "key"], [F.desc("written"), F.desc("symbol_name")])
     keys = names.select("file_id", "name").distinct().withColumn("key", first_segment(F.col("name")))
     keys = keys.join(named.select("file_id", "key", "symbol_name", "source_module"), ["file_id", "key"])
     keys = keys.withColumn("target", F.concat("symbol_name", F.substring("name", F.length("key") + 1, F.length("name"))))
     keys = keys.join(module_files.select(F.col("module").alias("source_module"), F.col("file_id").alias("target_file")), "source_module")
-    return _in_file(keys.select("file_id", "name", "target_file", "target"), symbols).groupBy("file_id", "name").agg(F.min("symbol_id").alias("symbol_id"))
+    found = _in_file(keys.select("file_id", "name", "target_file", "target"), symbols, is_qualified(F.col("name")))
+    return found.groupBy("file_id", "name").agg(F.min("symbol_id").alias("symbol_id"))
 
 
 def glob_import(names: DataFrame, imports: DataFrame, module_files: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
-    """(file_id, name, symbol_id) in Rust files: the first glob import, by module, whose file has the name."""
+    """(file_id, name, symbol_id) in Rust files: the first glob import, by module, whose file has the name.
+
+    Names that no symbol has are left out before they meet a file's glob imports.
+    """
     rust = files.where("language = 'rust'").select(F.col("id").alias("file_id"))
-    globs = imports.where("symbol_name = '*'").join(rust, "file_id", "left_semi").join(module_files.select(F.col("module").alias("source_module"), F.col("file_id").alias("target_file")), "source_module")
-    keys = names.select("file_id", "name").distinct().join(globs.select("file_id", "source_module", "target_file"), "file_id")
-    keys = keys.withColumn("target", F.col("name"))
-    found = _in_file(keys.select("file_id", "name", "source_module", "target_file", "target"), symbols)
-    return found.groupBy("file_id", "name").agg(F.min_by("symbol_id", F.struct("source_module", "symbol_id")).alias("symbol_id"))
+    globs = _written(imports).where("symbol_name = '*'").join(rust, "file_id", "left_semi").join(module_files.select(F.col("module").alias("source_module"), F.col("file_id").alias("target_file")), "source_module")
+    keys = names.select("file_id", "name").distinct().withColumn("last", last_segment(F.col("name")))
+    keys = keys.join(symbols.select(F.col("name").alias("last")).distinct(), "last", "left_semi").drop("last")
+    keys = keys.join(globs.select("file_id", "written", "target_file"), "file_id").withColumn("target", F.col("name"))
+    found = _in_file(keys.select("file_id", "name", "written", "target_file", "target"), symbols, is_qualified(F.col("name")))
+    return found.groupBy("file_id", "name").agg(F.min_by("symbol_id", F.struct("written", "symbol_id")).alias("symbol_id"))
 
 
 def import_union(names: DataFrame, imports: DataFrame, namespaces: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
@@ -95,12 +103,13 @@ def import_union(names: DataFrame, imports: DataFrame, namespaces: DataFrame, sy
     cs = files.where("language = 'csharp'").select(F.col("id").alias("file_id"))
     uses = imports.where("symbol_name = '*'").join(cs, "file_id", "left_semi").select("file_id", F.col("source_module").alias("namespace"))
     simple = names.where(~is_qualified(F.col("name"))).select("file_id", "name").distinct()
+    simple = simple.join(symbols.select("name").distinct(), "name", "left_semi")  # before a name meets all files of a namespace
     plain = uses.join(namespaces.select("namespace", F.col("file_id").alias("target_file")), "namespace").select("file_id", "target_file")
     types = symbols.where(F.col("kind").isin(CONTAINERS)).select(F.col("file_id").alias("target_file"), "name", F.col("id").alias("symbol_id"))
     a = simple.join(plain, "file_id").join(types, ["target_file", "name"]).select("file_id", "name", "symbol_id")
     static = uses.withColumn("type", F.element_at(F.split("namespace", r"\."), -1)).withColumn("namespace", F.regexp_replace("namespace", r"\.[^.]*$", ""))
     static = static.join(namespaces.select("namespace", F.col("file_id").alias("target_file")), "namespace").select("file_id", "target_file", "type")
-    members = symbols.select(F.col("file_id").alias("target_file"), "qualified_name", F.col("id").alias("symbol_id"))
+    members = symbols.where(F.col("kind").isin("function", "method")).select(F.col("file_id").alias("target_file"), "qualified_name", F.col("id").alias("symbol_id"))
     b = simple.join(static, "file_id").withColumn("qualified_name", F.concat_ws("::", "type", "name")).join(members, ["target_file", "qualified_name"]).select("file_id", "name", "symbol_id")
     both = a.unionByName(b).distinct()
     return both.groupBy("file_id", "name").agg(F.count("*").alias("n"), F.min("symbol_id").alias("symbol_id")).where("n = 1").drop("n")
@@ -126,15 +135,24 @@ def unique_workspace(names: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def qualified_fallback(names: DataFrame, module_files: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(file_id, name, symbol_id): the longest leading part that is a module with a file claims the name; if its file lacks the rest, nothing is found."""
+    """(file_id, name, symbol_id): a leading part that is a module with a file claims what follows it; the longest part whose file has that by its qualified name wins."""
+    claims = name_splits(names).join(module_files.select("module", F.col("file_id").alias("target_file")), "module")
+    return by_claims(claims.withColumn("place", F.lit(0)), symbols)
+
+
+def name_splits(names: DataFrame) -> DataFrame:
+    """(file_id, name, cut, module, target): all ways to part a qualified name in two."""
     parts = F.split("name", "::")
     splits = names.where(is_qualified(F.col("name"))).select("file_id", "name").distinct()
     splits = splits.select("file_id", "name", F.explode(F.sequence(F.lit(1), F.size(parts) - 1)).alias("cut"))
-    splits = splits.withColumns({"module": F.array_join(F.slice(parts, F.lit(1), F.col("cut")), "::"), "target": F.array_join(F.slice(parts, F.col("cut") + 1, F.size(parts)), "::")})
-    claimed = splits.join(module_files.select("module", F.col("file_id").alias("target_file")), "module")
-    claimed = first_of(claimed, ["file_id", "name"], [F.desc("cut"), F.asc("target_file")])
-    found = _in_file(claimed.select("file_id", "name", "target_file", "target"), symbols)
-    return found.select("file_id", "name", "symbol_id")
+    return splits.withColumns({"module": F.array_join(F.slice(parts, F.lit(1), F.col("cut")), "::"), "target": F.array_join(F.slice(parts, F.col("cut") + 1, F.size(parts)), "::")})
+
+
+def by_claims(claims: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(file_id, name, symbol_id) from claims (file_id, name, cut, place, target_file, target): each cut has its first claimed file alone, and a cut whose file lacks the target gives way to a shorter one."""
+    first = first_of(claims, ["file_id", "name", "cut"], [F.asc("place"), F.asc("target_file")])
+    found = _in_file(first.select("file_id", "name", "cut", "target_file", "target"), symbols, F.lit(True))
+    return found.groupBy("file_id", "name").agg(F.max_by("symbol_id", "cut").alias("symbol_id"))
 
 
 def resolve(names: DataFrame, arms: dict[str, DataFrame], symbols: DataFrame) -> DataFrame:
@@ -175,20 +193,3 @@ def apply_resolutions(refs: DataFrame, found: DataFrame) -> DataFrame:
 def without_noise(refs: DataFrame) -> DataFrame:
     """refs without unresolved values and macro calls."""
     return refs.where("symbol_id is not null or kind not in ('value', 'macro_call')")
-
-
-def resolve_all(refs: DataFrame, symbols: DataFrame, imports: DataFrame, files: DataFrame, file_crates: DataFrame, module_files: DataFrame) -> DataFrame:
-    """The second pass: all arms over the distinct unresolved names, then the noise is dropped."""
-    names = settled(distinct_names(refs), "names")
-    cs = files.where("language = 'csharp'").select(F.col("id").alias("file_id"))
-    spaces = symbols.where("kind = 'module'").join(cs, "file_id", "left_semi").select(F.col("name").alias("namespace"), "file_id").distinct()
-    arms = {
-        "explicit_import": explicit_import(names, imports, module_files, symbols),
-        "glob_import": glob_import(names, imports, module_files, symbols, files),
-        "import_union": import_union(names, imports, spaces, symbols, files),
-        "qualified_exact": qualified_exact(names, symbols),
-        "same_crate": same_crate(names, symbols, file_crates),
-        "unique_workspace": unique_workspace(names, symbols),
-        "qualified_module_fallback": qualified_fallback(names, module_files, symbols),
-    }
-    return without_noise(apply_resolutions(refs, resolve(names, arms, symbols)))

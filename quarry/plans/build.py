@@ -11,8 +11,9 @@ from quarry.operators import edges as E
 from quarry.operators import resolve as R
 from quarry.operators.lookups import first_of
 from quarry.plans.runtime import settled
-from quarry.schema import TABLES, refs_named
+from quarry.schema import refs_named
 from quarry.sources import scan
+from quarry.sources.catalog import STORED
 
 
 def absolute_imports(imports: DataFrame, modules: DataFrame, owned: DataFrame) -> DataFrame:
@@ -31,13 +32,15 @@ def file_level(imports: DataFrame, modules: DataFrame) -> DataFrame:
     return modules.select(F.concat_ws("|", "scope", "module").alias("module"), "file_id")
 
 
-def build_tables(spark: SparkSession, root: str, sources: DataFrame | None = None, definitions: DataFrame | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+def build_tables(spark: SparkSession, root: str, sources: DataFrame | None = None, definitions: DataFrame | None = None, reused: DataFrame | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
     """(tables, errors (path, reason)) of the workspace under a folder.
 
     sources: rows of scan_sources(), if not all of the folder. definitions: a language server's answers, for a third pass.
+    reused: what extract_files() has found before in files that have not changed and are not among the sources.
     """
     good, bad = scan.split_valid(sources if sources is not None else scan.scan_sources(spark, root))
-    extracted = settled(extract_files(good), "extracted")
+    fresh = extract_files(good)
+    extracted = settled(fresh if reused is None else reused.select(*fresh.columns).unionByName(fresh), "extracted")
     errors = bad.unionByName(extracted.where("error is not null").select("path", F.col("error").alias("reason")))
     crates = settled(scan.discover_crates(spark, root), "crates")
     plain = extracted.select(F.xxhash64("path").alias("id"), "path")
@@ -46,12 +49,13 @@ def build_tables(spark: SparkSession, root: str, sources: DataFrame | None = Non
     first = {n: settled(df, n) for n, df in first_pass(extracted, by_path).items()}
     files, symbols, imports = first["files"], first["symbols"], first["imports"]
     owned = settled(scan.file_crates(files.select("id", "path"), crates), "owned")
+    homes = scan.homes(files.select("id", "path"), owned)
     modules = settled(scan.module_paths(owned), "modules")
     reach = settled(scan.module_files(owned, modules), "module-files")
     known = file_level(imports, reach)
-    full = absolute_imports(imports, modules, owned).withColumn("source_module", F.concat_ws("|", "scope", "full_module")).select("file_id", "symbol_name", "source_module", "alias")
+    full = absolute_imports(imports, modules, owned).withColumn("written", F.col("source_module")).withColumn("source_module", F.concat_ws("|", "scope", "full_module")).select("file_id", "symbol_name", "source_module", "alias", "written")
     csharp = files.where("language = 'csharp'").select(F.col("id").alias("file_id"))
-    full = full.join(csharp, "file_id", "left_anti").unionByName(imports.join(csharp, "file_id", "left_semi"))
+    full = full.join(csharp, "file_id", "left_anti").unionByName(imports.join(csharp, "file_id", "left_semi").withColumn("written", F.col("source_module")))
     crate_of = owned.select("file_id", "crate", "crate_path")
     refs = settled(_second_pass(first["refs"], symbols, settled(full, "full-imports"), files, crate_of, known, reach, owned), "refs")
     if definitions is not None:
@@ -60,34 +64,30 @@ def build_tables(spark: SparkSession, root: str, sources: DataFrame | None = Non
         refs = settled(refs, "refs")
     refs = settled(R.without_noise(refs), "refs")
     calls = settled(E.call_edges(refs), "calls")
-    spaces = E.csharp_corroboration(imports, symbols, files)
-    by_calls = E.corroborated(E.file_pairs(calls, symbols), owned.select("file_id", "crate"), E.imported_crates(imports, crates), spaces)
+    pairs = settled(E.file_pairs(calls, symbols), "pairs")
+    spaces = E.csharp_corroboration(pairs, imports, symbols, files)
+    by_calls = E.corroborated(pairs, homes, E.imported_crates(imports, crates), spaces)
     words = refs_named(refs, symbols)
     said = words.select("file_id", F.col("name")).unionByName(words.select("file_id", first_segment(F.col("name")).alias("name"))).distinct()
     deps = settled(E.merged(by_calls, E.import_dependencies(full, said, known)), "deps")
     packages = crates.select(F.xxhash64("name").alias("id"), "name", "path", F.lit("manifest").alias("source"))
     file_packages = owned.select("file_id", F.xxhash64("crate").alias("package_id"))
-    out = first | {"refs": refs, "call_edges": calls, "file_deps": deps, "packages": packages, "file_packages": file_packages, "package_deps": E.package_deps(deps, file_packages), "crates": crates}
-    return {n: out[n].select(*spark.createDataFrame([], TABLES[n]).columns) for n in TABLES}, errors
+    out = first | {"extracted": extracted, "refs": refs, "call_edges": calls, "file_deps": deps, "packages": packages, "file_packages": file_packages, "package_deps": E.package_deps(deps, file_packages), "crates": crates}
+    return {n: out[n].select(*spark.createDataFrame([], kind).columns) for n, kind in STORED.items()}, errors
 
 
 def _second_pass(refs, symbols, imports, files, crate_of, known, reach, owned) -> DataFrame:
     names = settled(R.distinct_names(refs), "names")
     cs = files.where("language = 'csharp'").select(F.col("id").alias("file_id"))
     spaces = symbols.where("kind = 'module'").join(cs, "file_id", "left_semi").select(F.col("name").alias("namespace"), "file_id").distinct()
-    # a qualified name may start at the crate or name another one
-    parts = F.split("name", "::")
-    splits = names.where(F.col("name").contains("::")).join(owned.select("file_id", "crate"), "file_id", "left").select("file_id", "name", "crate", F.explode(F.sequence(F.lit(1), F.size(parts) - 1)).alias("cut"))
-    splits = splits.withColumn("module", F.array_join(F.slice(parts, F.lit(1), F.col("cut")), "::"))
-    # a prefix is tried below the crate first, then as it is written
+    # a qualified name may start at the crate or name another one: a prefix is tried below the crate first, then as it is written
+    rust = files.where("language = 'rust'").select(F.col("id").alias("file_id"))
+    splits = R.name_splits(names.join(rust, "file_id", "left_semi")).join(owned.select("file_id", "crate"), "file_id", "left")
     module = F.col("module")
     own = F.when(~module.rlike("^(crate|self|super)(::|$)"), F.concat_ws("|", "crate", F.concat(F.lit("crate::"), module)))
     written = F.when(module.rlike("^crate(::|$)"), F.concat_ws("|", "crate", "module")).otherwise(F.concat(F.lit("*|"), module))
-    tried = splits.select("file_id", "name", "cut", F.posexplode(F.array(own, written)).alias("place", "module")).where("module is not null")
-    claimed = tried.join(known.withColumnRenamed("file_id", "target_file"), "module")
-    claimed = first_of(claimed, ["file_id", "name"], [F.desc("cut"), F.asc("place"), F.asc("target_file")])
-    claimed = claimed.withColumn("target", F.array_join(F.slice(parts, F.col("cut") + 1, F.size(parts)), "::"))
-    fallback = R._in_file(claimed.select("file_id", "name", "target_file", "target"), symbols).select("file_id", "name", "symbol_id")
+    tried = splits.select("file_id", "name", "cut", "target", F.posexplode(F.array(own, written)).alias("place", "module")).where("module is not null")
+    fallback = R.by_claims(tried.join(known.withColumnRenamed("file_id", "target_file"), "module"), symbols)
     arms = {
         "explicit_import": R.explicit_import(names, imports, known, symbols),
         "glob_import": R.glob_import(names, imports, known, symbols, files),

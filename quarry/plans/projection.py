@@ -57,7 +57,6 @@ SELECT a.package_id AS source_pkg, b.package_id AS target_pkg, CAST(count(*) AS
 FROM file_deps d JOIN file_packages a ON a.file_id = d.from_file_id JOIN file_packages b ON b.file_id = d.to_file_id
 WHERE a.package_id <> b.package_id GROUP BY a.package_id, b.package_id""",
     "refs_named": "\nSELECT r.*, coalesce(r.reference_name, s.name) AS name FROM refs r LEFT JOIN symbols s ON s.id = r.symbol_id",
-    "block_deps": "\nSELECT from_file_id, to_file_id FROM file_deps WHERE from_file_id DIV 4 = to_file_id DIV 4",
 }
 BASE = ["symbols", "files", "packages", "file_packages", "sites", "refs", "imports", "attributes"]
 

@@ -14,6 +14,7 @@ from quarry.operators import edges as E
 from quarry.operators import graph as G
 from quarry.operators import lookups as L
 from quarry.operators import resolve as R
+from quarry.plans import code
 from quarry.plans.projection import CTES, Projected, duck
 from quarry.plans.runtime import settled
 
@@ -77,7 +78,7 @@ def _walk(edge: str, src: str, dst: str, seeds: str, most: int, start: int = 0)
     return f"walk(node, depth) AS ({seeds} UNION SELECT e.{dst}, w.depth + 1 FROM walk w JOIN {edge} e ON e.{src} = w.node WHERE w.depth < {most})"
 
 
-def _impact(p, edges, max_depth: int = 10):
+def _impact(p, edges, max_depth: int = G.DEFAULT_DEPTH):
     seeds = p.spark.createDataFrame([(ROOT,)], "node long")
     return G.reach(edges, "callee_symbol_id", "caller_symbol_id", seeds, max_depth).join(p.symbols.select(F.col("id").alias("node"), "qualified_name"), "node").select(F.col("node").alias("id"), "qualified_name", F.col("depth").cast("int").alias("depth"))
 
@@ -85,12 +86,12 @@ def _impact(p, edges, max_depth: int = 10):
 IMPACT = " SELECT s.id, s.qualified_name, CAST(min(w.depth) AS INT) AS depth FROM walk w JOIN symbols s ON s.id = w.node WHERE w.depth > 0 GROUP BY s.id, s.qualified_name"
 
 
-@query(IMPACT, _walk("call_edges", "callee_symbol_id", "caller_symbol_id", f"SELECT CAST({ROOT} AS BIGINT), 0", 10))
+@query(IMPACT, _walk("call_edges", "callee_symbol_id", "caller_symbol_id", f"SELECT CAST({ROOT} AS BIGINT), 0", G.DEFAULT_DEPTH))
 def symbol_impact(p):
     return _impact(p, _edges(p))
 
 
-@query(IMPACT, _walk(f"(SELECT c.* FROM call_edges c JOIN {FIRM} f ON f.x = c.caller_symbol_id AND f.y = c.callee_symbol_id)", "callee_symbol_id", "caller_symbol_id", f"SELECT CAST({ROOT} AS BIGINT), 0", 10))
+@query(IMPACT, _walk(f"(SELECT c.* FROM call_edges c JOIN {FIRM} f ON f.x = c.caller_symbol_id AND f.y = c.callee_symbol_id)", "callee_symbol_id", "caller_symbol_id", f"SELECT CAST({ROOT} AS BIGINT), 0", G.DEFAULT_DEPTH))
 def symbol_impact_excl_spec(p):
     return _impact(p, E.supported_edges(_edges(p), schema.refs_banded(p.refs, p.symbols)))
 
@@ -114,6 +115,14 @@ def file_deps_corroborated(p):
     return E.corroborated(_deps(p), _file_crates(p), E.imported_crates(p.imports, p.packages))
 
 
+@query(" SELECT DISTINCT d.from_file_id, d.to_file_id FROM file_deps d WHERE EXISTS (SELECT 1 FROM symbols a JOIN symbols b ON b.name = a.name WHERE a.file_id = d.from_file_id - 1 AND b.file_id = d.to_file_id AND a.kind = 'trait' AND b.kind = 'trait')")
+def file_deps_csharp(p):
+    """As if all files were C#, each trait a namespace that its file declares and the next file uses."""
+    spaces = p.symbols.withColumn("kind", F.when(F.col("kind") == "trait", "module").otherwise("function"))
+    uses = p.symbols.where("kind = 'trait'").select((F.col("file_id") + 1).alias("file_id"), F.col("name").alias("source_module"))
+    return E.csharp_corroboration(_deps(p), uses, spaces, p.files.withColumn("language", F.lit("csharp")))
+
+
 @query(f" SELECT DISTINCT i.file_id, k.name AS crate FROM imports i JOIN packages k ON k.name = split_part(i.source_module, '::', 1)")
 def imports_per_crate(p):
     return E.imported_crates(p.imports, p.packages)
@@ -134,10 +143,10 @@ def import_dependencies(p):
     return E.import_dependencies(p.imports, named, _modules(p))
 
 
-@query(" SELECT CAST(w.node AS BIGINT) AS file_id, CAST(min(w.depth) AS INT) AS depth FROM walk w WHERE w.depth > 0 GROUP BY w.node", _walk("file_deps", "to_file_id", "from_file_id", f"SELECT CAST({LEAF} AS BIGINT), 0", 8))
+@query(" SELECT CAST(w.node AS BIGINT) AS file_id, CAST(min(w.depth) AS INT) AS depth FROM walk w WHERE w.depth > 0 GROUP BY w.node", _walk("file_deps", "to_file_id", "from_file_id", f"SELECT CAST({LEAF} AS BIGINT), 0", G.DEFAULT_DEPTH))
 def file_impact(p):
     seeds = p.spark.createDataFrame([(LEAF,)], "node long")
-    return G.reach(_deps(p), "to_file_id", "from_file_id", seeds, 8).select(F.col("node").alias("file_id"), "depth")
+    return G.reach(_deps(p), "to_file_id", "from_file_id", seeds, G.DEFAULT_DEPTH).select(F.col("node").alias("file_id"), "depth")
 
 
 def _paths(p, src, dst, depth):
@@ -150,14 +159,14 @@ def _reach_sql(src, dst, depth):
     return " SELECT CAST(w.node AS BIGINT) AS id, CAST(min(w.depth) AS INT) AS depth, CAST(min(w.depth) + 1 AS INT) AS hops FROM walk w WHERE w.node <> 315 GROUP BY w.node", _walk("call_edges", src, dst, f"SELECT CAST({ROOT} AS BIGINT), 0", depth)
 
 
-@query(*_reach_sql("caller_symbol_id", "callee_symbol_id", 6))
+@query(*_reach_sql("caller_symbol_id", "callee_symbol_id", G.DEFAULT_DEPTH))
 def reachable_fwd(p):
-    return _paths(p, "caller_symbol_id", "callee_symbol_id", 6)
+    return _paths(p, "caller_symbol_id", "callee_symbol_id", G.DEFAULT_DEPTH)
 
 
-@query(*_reach_sql("callee_symbol_id", "caller_symbol_id", 6))
+@query(*_reach_sql("callee_symbol_id", "caller_symbol_id", G.DEFAULT_DEPTH))
 def reachable_bwd(p):
-    return _paths(p, "callee_symbol_id", "caller_symbol_id", 6)
+    return _paths(p, "callee_symbol_id", "caller_symbol_id", G.DEFAULT_DEPTH)
 
 
 @query(f" SELECT CAST(min(w.depth) + 1 AS BIGINT) AS files, CAST({CHAIN[0]} AS BIGINT) AS first, CAST({CHAIN[1]} AS BIGINT) AS last FROM walk w WHERE w.node = {CHAIN[1]}", _walk("file_deps", "from_file_id", "to_file_id", f"SELECT CAST({CHAIN[0]} AS BIGINT), 0", 50))
@@ -167,32 +176,11 @@ def dependency_chain(p):
     return chain.agg(F.count("*").alias("files"), F.min_by("node", "position").alias("first"), F.max_by("node", "position").alias("last"))
 
 
-def _block_deps(p):
-    return _deps(p).where("from_file_id DIV 4 = to_file_id DIV 4")
-
-
-CYCLES = "ways(start, node, path) AS (SELECT from_file_id, to_file_id, [from_file_id, to_file_id] FROM block_deps WHERE to_file_id >= from_file_id UNION ALL SELECT w.start, d.to_file_id, list_append(w.path, d.to_file_id) FROM ways w JOIN block_deps d ON d.from_file_id = w.node WHERE w.node <> w.start AND d.to_file_id >= w.start AND (d.to_file_id = w.start OR NOT list_contains(w.path, d.to_file_id)))"
+CYCLES = "ways(start, node, path) AS (SELECT from_file_id, to_file_id, [from_file_id, to_file_id] FROM file_deps WHERE to_file_id >= from_file_id UNION ALL SELECT w.start, d.to_file_id, list_append(w.path, d.to_file_id) FROM ways w JOIN file_deps d ON d.from_file_id = w.node WHERE w.node <> w.start AND d.to_file_id >= w.start AND (d.to_file_id = w.start OR NOT list_contains(w.path, d.to_file_id)))"
 
 
 @query(" SELECT list_aggregate(list_sort(path[1:len(path) - 1]), 'string_agg', ',') AS members, CAST(len(path) - 1 AS INT) AS length FROM ways WHERE node = start", CYCLES)
 def cycles(p):
-    return G.detect_cycles(_block_deps(p), p.files).select(F.array_join(F.array_sort("ids").cast("array<string>"), ",").alias("members"), "length")
-
-
-PAIRS = "pairs(a, b) AS (SELECT from_file_id, to_file_id FROM block_deps UNION SELECT q.a, d.to_file_id FROM pairs q JOIN block_deps d ON d.from_file_id = q.b)"
-
-
-@query(" SELECT q.a AS node, min(q.b) AS scc, CAST(count(*) AS BIGINT) AS size FROM pairs q JOIN pairs r ON r.a = q.b AND r.b = q.a GROUP BY q.a", PAIRS)
-def scc(p):
-    return G.strong_components(_block_deps(p).select(F.col("from_file_id").alias("src"), F.col("to_file_id").alias("dst")))
-
-
-WHOLE_CYCLES = CYCLES.replace("block_deps", "file_deps")
-
-
-@query(" SELECT list_aggregate(list_sort(path[1:len(path) - 1]), 'string_agg', ',') AS members, CAST(len(path) - 1 AS INT) AS length FROM ways WHERE node = start", WHOLE_CYCLES)
-def cycles_whole(p):
-    """cycles, over all file dependencies instead of those within blocks of four files."""
     return G.detect_cycles(_deps(p), p.files).select(F.array_join(F.array_sort("ids").cast("array<string>"), ",").alias("members"), "length")
 
 
@@ -203,8 +191,7 @@ back(m, n) AS (SELECT f.m, f.n FROM forth f JOIN file_deps d ON d.from_file_id =
 
 
 @query(" SELECT node, scc, CAST(count(*) OVER (PARTITION BY scc) AS BIGINT) AS size FROM (SELECT n AS node, min(m) AS scc FROM back GROUP BY n)", FORTH)
-def scc_whole(p):
-    """scc, over all file dependencies instead of those within blocks of four files."""
+def scc(p):
     return G.strong_components(_deps(p).select(F.col("from_file_id").alias("src"), F.col("to_file_id").alias("dst")))
 
 
@@ -258,9 +245,9 @@ def references_in_file(p):
     return L.references_in_file(p.refs, 7).select("in_symbol_id", "kind", "line", "reference_name")
 
 
-@query(" SELECT symbol_name, source_module, alias FROM imports WHERE file_id = 7")
+@query(" SELECT symbol_name, source_module, alias FROM imports WHERE file_id = 60")
 def imports_in_file(p):
-    return L.imports_in_file(p.imports, 7).select("symbol_name", "source_module", "alias")
+    return L.imports_in_file(p.imports, 60).select("symbol_name", "source_module", "alias")
 
 
 @query(" SELECT DISTINCT r.file_id, r.line, s.id AS symbol_id FROM (SELECT DISTINCT file_id, line FROM refs) r JOIN symbols s ON s.file_id = r.file_id AND r.line BETWEEN s.line AND s.end_line")
@@ -268,6 +255,16 @@ def symbol_containing_line(p):
     return L.innermost_symbol(p.symbols, p.refs)
 
 
+#: Spans that nest: every symbol but the first ones of a file stands in those before it, and each second line has two that begin there.
+NESTED = "(SELECT id, file_id, CAST((id % 10) DIV 2 * 20 + 1 AS INT) AS line, CAST(100 - (id % 2) AS INT) AS end_line FROM symbols)"
+
+
+@query(f" SELECT file_id, line, symbol_id FROM (SELECT r.file_id, r.line, s.id AS symbol_id, row_number() OVER (PARTITION BY r.file_id, r.line ORDER BY s.line DESC, s.end_line, s.id) AS k FROM (SELECT DISTINCT file_id, line FROM refs) r JOIN {NESTED} s ON s.file_id = r.file_id AND r.line BETWEEN s.line AND s.end_line) x WHERE k = 1")
+def symbol_containing_line_nested(p):
+    spans = p.symbols.withColumns({"line": F.expr("CAST((id % 10) DIV 2 * 20 + 1 AS INT)"), "end_line": F.expr("CAST(100 - (id % 2) AS INT)")})
+    return L.innermost_symbol(spans, p.refs)
+
+
 @query(" SELECT DISTINCT r.file_id, s.line, s.id AS symbol_id FROM refs r JOIN symbols s ON s.file_id = r.file_id AND r.line - 3 = s.line")
 def symbol_at_line(p):
     return L.symbol_at_line(p.symbols, p.refs.withColumn("line", F.col("line") - 3))
@@ -392,7 +389,7 @@ FROM ({DEAD}) d JOIN (SELECT item_id, lower(regexp_extract(text, '([A-Za-z]{{4,}
 
 
 def _hierarchy(p, direction):
-    return G.type_hierarchy("sym_395", direction, p.refs, p.symbols, 8).select("symbol_id", "name", F.col("depth").cast("int").alias("depth"))
+    return G.type_hierarchy("sym_395", direction, p.refs, p.symbols).select("symbol_id", "name", F.col("depth").cast("int").alias("depth"))
 
 
 BOX = "(SELECT id FROM symbols WHERE kind IN ('struct', 'trait'))"
@@ -401,12 +398,12 @@ ROOTS = "SELECT id, 0 FROM symbols WHERE name = 'sym_395' AND kind IN ('struct',
 
 
 @query(f""" SELECT w.node AS symbol_id, s.name, CAST(min(w.depth) AS INT) AS depth FROM walk w JOIN symbols s ON s.id = w.node WHERE w.node NOT IN (SELECT id FROM symbols WHERE name = 'sym_395' AND kind IN ('struct', 'trait')) GROUP BY w.node, s.name
-UNION ALL SELECT NULL, i.reference_name, CAST(min(w.depth) + 1 AS INT) FROM (SELECT node, min(depth) AS depth FROM walk GROUP BY node) w JOIN {INHERIT} i ON i.sub = w.node WHERE i.super IS NULL AND i.reference_name IS NOT NULL AND w.depth < 8 GROUP BY i.reference_name""", f"walk(node, depth) AS ({ROOTS} UNION SELECT i.super, w.depth + 1 FROM walk w JOIN {INHERIT} i ON i.sub = w.node WHERE i.super IS NOT NULL AND w.depth < 8)")
+UNION ALL SELECT NULL, i.reference_name, CAST(min(w.depth) + 1 AS INT) FROM (SELECT node, min(depth) AS depth FROM walk GROUP BY node) w JOIN {INHERIT} i ON i.sub = w.node WHERE i.super IS NULL AND i.reference_name IS NOT NULL AND w.depth < 50 GROUP BY i.reference_name""", f"walk(node, depth) AS ({ROOTS} UNION SELECT i.super, w.depth + 1 FROM walk w JOIN {INHERIT} i ON i.sub = w.node WHERE i.super IS NOT NULL AND w.depth < 50)")
 def type_hierarchy_up(p):
     return _hierarchy(p, "up")
 
 
-@query(" SELECT w.node AS symbol_id, s.name, CAST(min(w.depth) AS INT) AS depth FROM walk w JOIN symbols s ON s.id = w.node WHERE w.node NOT IN (SELECT id FROM symbols WHERE name = 'sym_395' AND kind IN ('struct', 'trait')) GROUP BY w.node, s.name", f"walk(node, depth) AS ({ROOTS} UNION SELECT i.sub, w.depth + 1 FROM walk w JOIN {INHERIT} i ON i.super = w.node WHERE w.depth < 8)")
+@query(" SELECT w.node AS symbol_id, s.name, CAST(min(w.depth) AS INT) AS depth FROM walk w JOIN symbols s ON s.id = w.node WHERE w.node NOT IN (SELECT id FROM symbols WHERE name = 'sym_395' AND kind IN ('struct', 'trait')) GROUP BY w.node, s.name", f"walk(node, depth) AS ({ROOTS} UNION SELECT i.sub, w.depth + 1 FROM walk w JOIN {INHERIT} i ON i.super = w.node WHERE w.depth < 50)")
 def type_hierarchy_down(p):
     return _hierarchy(p, "down")
 
@@ -453,7 +450,8 @@ def unresolved_refs(p):
     return p.refs.where("symbol_id is null").select("in_symbol_id", "line", "kind", "reference_name")
 
 
-IN_FILE = "(s.name = {t} OR s.qualified_name = {t} OR ends_with(s.qualified_name, '::' || {t}))"
+#: A qualified name must be the whole qualified name of a symbol in the file, a simple one its name.
+IN_FILE = "CASE WHEN contains(n.name, '::') THEN s.qualified_name = {t} ELSE s.name = {t} END"
 
 
 @query(f""" SELECT n.file_id, n.name, min(s.id) AS symbol_id FROM {NAMES} n
@@ -496,7 +494,7 @@ def resolve_unique_workspace(p):
 SHORT = "(SELECT 'm' || CAST(id % 40 AS STRING) AS module, min(id) AS file_id FROM files GROUP BY 1)"
 
 
-@query(f" SELECT n.file_id, n.name, min(s.id) AS symbol_id FROM {NAMES} n JOIN {SHORT} m ON m.module = {SEGMENT} JOIN symbols s ON s.file_id = m.file_id AND s.name = split_part(n.name, '::', 2) GROUP BY n.file_id, n.name")
+@query(f" SELECT n.file_id, n.name, min(s.id) AS symbol_id FROM {NAMES} n JOIN {SHORT} m ON m.module = {SEGMENT} JOIN symbols s ON s.file_id = m.file_id AND s.qualified_name = substr(n.name, length({SEGMENT}) + 3) GROUP BY n.file_id, n.name")
 def resolve_qualified_fallback(p):
     short = p.files.groupBy(F.concat(F.lit("m"), (F.col("id") % 40).cast("string")).alias("module")).agg(F.min("id").alias("file_id"))
     return R.qualified_fallback(_names(p), short, p.symbols)
@@ -533,3 +531,7 @@ def noise_refs(p):
 @query(" SELECT CAST(count(*) AS BIGINT) AS qualified FROM refs WHERE contains(reference_name, '::')")
 def qualified_refs(p):
     return p.refs.where(is_qualified(F.col("reference_name"))).agg(F.count("*").alias("qualified"))
+
+
+QUERIES |= code.QUERIES
+ORACLES |= code.ORACLES

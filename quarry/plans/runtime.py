@@ -11,8 +11,12 @@ from quarry import schema
 
 
 def work_dir(spark: SparkSession, what: str) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors share; another base only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/quarry-work"
+    """A new folder under spark.checkpoint.dir, which all executors share; a local master alone has a folder of its own where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/quarry-work"
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-VERSION = 1
+VERSION = 2
 
 TABLES = {
     "files": "id long, path string, language string, mtime_ns long, size_bytes long, content_hash long, indexed_at long",

@@ -122,6 +122,12 @@ def file_crates(files: DataFrame, crates: DataFrame) -> DataFrame:
     return best.select("file_id", "path", F.col("c.name").alias("crate"), F.col("c.folder").alias("crate_path"), "c.lib_path", "c.bin_paths", inner.alias("inner"))
 
 
+def homes(files: DataFrame, owned: DataFrame) -> DataFrame:
+    """(file_id, crate) of every file; one outside all crates has `orphan:` and the first part of its path."""
+    rows = files.select(F.col("id").alias("file_id"), "path").join(owned.select("file_id", "crate"), "file_id", "left")
+    return rows.select("file_id", F.coalesce("crate", F.concat(F.lit("orphan:"), F.substring_index("path", "/", 1))).alias("crate"))
+
+
 def module_paths(owned: DataFrame) -> DataFrame:
     """(file_id, module_path): crate::a::b, or the binary's name as the first part; the stems mod, lib and main are dropped."""
     stem = F.regexp_replace("inner", r"\.[^./]*$", "")

@@ -49,7 +49,26 @@ def test_server_answers_bind_what_is_left(index, spark):
     assert [(r["name"], r["source"]) for r in refined.get_callers("same", sites=sites).collect()] == [("top", "lsp")]
 
 
+def test_readers_see_whole_generations(index, spark):
+    """A generation whose marker is missing does not count; vacuum leaves one."""
+    import os
+
+    before = index.symbols.count()
+    for name, df in index.tables.items():
+        df.limit(0).write.parquet(f"{index.folder}/half/{name}")
+    assert Index(spark, index.root).symbols.count() == before
+    index.index()
+    index.vacuum()
+    assert len([d for d in os.listdir(f"{index.folder}/marks") if d.startswith("n=")]) == 1
+    assert Index(spark, index.root).symbols.count() == before
+
+
+def test_analyze(index):
+    rows = {(r["relation"], r["column"]): r for r in index.analyze().where("relation = 'files'").collect()}
+    assert rows["files", "path"]["rows"] == rows["files", "path"]["distinct"] == index.files.count() and rows["files", "content_hash"]["nulls"] == index.files.count()
+
+
 def test_other_versions_are_refused(index, spark):
-    spark.createDataFrame([(0, "x")], "version int, at string").coalesce(1).write.mode("overwrite").json(f"{index.folder}/current")
+    spark.createDataFrame([(0, "x")], "version int, at string").coalesce(1).write.json(f"{index.folder}/marks/n=999")
     with pytest.raises(catalog.OutdatedIndex, match="rebuild"):
         Index(spark, index.root).files  # noqa: B018

@@ -9,7 +9,7 @@ import pytest
 from quarry.plans.queries import ORACLES, QUERIES
 
 DATA = os.environ.get("QUARRY_DATA", "/root/testdata/sf0.001")
-TABLES = ["orders", "lineitem", "events", "documents", "benchmark"]
+TABLES = ["orders", "lineitem", "events", "documents", "benchmark", "customer"]
 
 
 @pytest.fixture(scope="module")

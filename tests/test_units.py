@@ -71,7 +71,7 @@ def test_simple_cycles(edges):
 def test_cycles_compare_paths_by_part(spark):
     files = spark.createDataFrame([(1, "a-b"), (2, "a/b"), (3, "c")], "id long, path string")
     deps = spark.createDataFrame([(1, 2), (2, 1), (3, 3), (2, 3)], "from_file_id long, to_file_id long")
-    assert rows(G.detect_cycles(deps, files).orderBy("cycle"), "paths") == [(["a/b", "a-b"],), (["c"],)]
+    assert rows(G.ordered_cycles(G.detect_cycles(deps, files)).orderBy("cycle"), "paths") == [(["a/b", "a-b"],), (["c"],)]
     with pytest.raises(ValueError, match="unknown end"):
         G.detect_cycles(deps.union(spark.createDataFrame([(9, 1)], deps.schema)), files)
 
@@ -98,12 +98,41 @@ def test_gate_comes_after_the_pick(spark):
     assert rows(R.resolve(names, {"same_crate": pick}, symbols), "symbol_id") == []
 
 
-def test_longest_module_claims_a_name(spark):
+def test_longest_module_that_holds_the_rest_wins(spark):
     names = spark.createDataFrame([(1, "a::b::f", "any")], "file_id long, name string, gate string")
     modules = spark.createDataFrame([("a::b", 2), ("a", 3)], "module string, file_id long")
-    symbols = spark.createDataFrame([(30, 3, "f", "b::f")], "id long, file_id long, name string, qualified_name string")
-    assert rows(R.qualified_fallback(names, modules, symbols), "symbol_id") == []
-    assert rows(R.qualified_fallback(names, modules.where("module = 'a'"), symbols), "symbol_id") == [(30,)]
+    symbols = spark.createDataFrame([(20, 2, "f", "B::f"), (30, 3, "f", "b::f")], "id long, file_id long, name string, qualified_name string")
+    assert rows(R.qualified_fallback(names, modules, symbols), "symbol_id") == [(30,)]
+    both = symbols.union(spark.createDataFrame([(40, 2, "f", "f")], symbols.schema))
+    assert rows(R.qualified_fallback(names, modules, both), "symbol_id") == [(40,)]
+
+
+def test_the_first_claimed_file_decides_a_split(spark):
+    """A split whose first file lacks the rest is abandoned: its other file is not asked."""
+    claims = spark.createDataFrame([(1, "h::f", 1, 0, 2, "f"), (1, "h::f", 1, 1, 3, "f")], "file_id long, name string, cut int, place int, target_file long, target string")
+    symbols = spark.createDataFrame([(30, 3, "f", "f")], "id long, file_id long, name string, qualified_name string")
+    assert rows(R.by_claims(claims, symbols), "symbol_id") == []
+    assert rows(R.by_claims(claims.where("place = 1"), symbols), "symbol_id") == [(30,)]
+
+
+def test_a_qualified_name_must_be_whole(spark):
+    """`A::f` through an import of A is A::f of its file, not B::A::f; a simple name is any symbol of that name."""
+    names = spark.createDataFrame([(1, "A::f"), (1, "g")], "file_id long, name string")
+    imports = spark.createDataFrame([(1, "A", "m", None), (1, "g", "m", None)], "file_id long, symbol_name string, source_module string, alias string")
+    modules = spark.createDataFrame([("m", 2)], "module string, file_id long")
+    symbols = spark.createDataFrame([(10, 2, "f", "B::A::f"), (11, 2, "g", "C::g")], "id long, file_id long, name string, qualified_name string")
+    assert rows(R.explicit_import(names, imports, modules, symbols), "name", "symbol_id") == [("g", 11)]
+    whole = symbols.union(spark.createDataFrame([(12, 2, "f", "A::f")], symbols.schema))
+    assert sorted(rows(R.explicit_import(names, imports, modules, whole), "name", "symbol_id")) == [("A::f", 12), ("g", 11)]
+
+
+def test_globs_are_tried_in_the_order_they_are_written(spark):
+    names = spark.createDataFrame([(1, "f")], "file_id long, name string")
+    imports = spark.createDataFrame([(1, "*", "z", "a::x"), (1, "*", "y", "b::x")], "file_id long, symbol_name string, source_module string, written string")
+    modules = spark.createDataFrame([("y", 2), ("z", 3)], "module string, file_id long")
+    symbols = spark.createDataFrame([(20, 2, "f", "f"), (30, 3, "f", "f")], "id long, file_id long, name string, qualified_name string")
+    files = spark.createDataFrame([(1, "rust")], "id long, language string")
+    assert rows(R.glob_import(names, imports, modules, symbols, files), "symbol_id") == [(30,)]
 
 
 def test_corroboration(spark):
@@ -158,3 +187,31 @@ def test_streaming_ingest(spark, tmp_path):
         (src / name).write_text(text)
         extraction_stream(spark, str(src), str(tmp_path / "t"), str(tmp_path / "c"), 1).awaitTermination()
     assert sorted((p, len(s)) for p, s in rows(latest(spark, str(tmp_path / "t")), "path", "symbols")) == [("a.rs", 1), ("b.rs", 2)]
+
+
+def test_columns_in_other_encodings(spark):
+    from quarry.functions import text as T
+
+    line = "é\U0001f600x = name(rename)"
+    for column in (1, 3, 7, 8, 11):
+        units = T.utf16_of(line, column)
+        assert T.from_utf16(line, units) == column
+        assert spark.range(1).select(T.utf16_column(F.lit(line), F.lit(column))).first()[0] == units
+    assert T.name_column(line, "name", 1) == 11 and T.name_column(line, "missing", 4) == 4
+
+
+def test_signatures_and_numbers(spark):
+    from quarry.functions import text as T
+
+    cases = {
+        "fn a()": (0, False),
+        "pub fn b(&self, x: u8, y: Vec<(u8, u8)>) -> Result<(), E>": (2, True),
+        "fn c(&'a mut self) -> io::Result<u8>": (0, True),
+        "fn d(f: fn(u8, u8) -> u8, [a, b]: [u8; 2]) -> Option<Result<u8, E>>": (2, False),
+        "struct E": (None, False),
+    }
+    df = spark.createDataFrame([(s,) for s in cases], "s string")
+    got = {r["s"]: (r["n"], r["r"]) for r in df.select("s", T.parameter_count(F.col("s")).alias("n"), T.returns_result(F.col("s")).alias("r")).collect()}
+    assert got == cases
+    row = spark.range(1).select(T.rounded(F.lit(0.125), 2), T.bar(F.lit(0.26), 4), T.bar(F.lit(1.5), 3)).first()
+    assert tuple(row) == ("0.13", "█░░░", "███")

@@ -42,5 +42,5 @@ def test_no_dependency_is_left_out(spark):
     reach = {n: _reached(out, n) for n in out}
     parts = {n: {m for m in reach[n] if n in reach.get(m, ())} for n in out if n in reach[n]}
     assert max(map(len, parts.values())) > 4
-    assert {tuple(r) for r in QUERIES["scc_whole"](spark, DATA).select("node", "scc", "size").collect()} == {(n, min(p), len(p)) for n, p in parts.items()}
-    assert sorted(tuple(r) for r in QUERIES["cycles_whole"](spark, DATA).select("members", "length").collect()) == sorted(_plain_cycles(out))
+    assert {tuple(r) for r in QUERIES["scc"](spark, DATA).select("node", "scc", "size").collect()} == {(n, min(p), len(p)) for n, p in parts.items()}
+    assert sorted(tuple(r) for r in QUERIES["cycles"](spark, DATA).select("members", "length").collect()) == sorted(_plain_cycles(out))
