@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from quarry.llm.components import components
 from quarry.llm.shared import in_groups, kept, partitions, tune
 
-#: Leading bits of a rotated fingerprint that name a trie node at which a self-join starts.
+#: Two fingerprints within two bits agree in one of three blocks of 21 bits; in the trie of the fingerprints that are
+#: rotated so that this block leads, their paths do not part in the first 21 levels.
 TOP = 21
 
 
@@ -59,15 +60,17 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", width
     return out.withColumnRenamed("key", key)
 
 
-def trie_links(values: np.ndarray, pairs: list[np.ndarray], depth: np.ndarray, most: int, chunk: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Walk pairs of trie nodes together and give the leaf pairs that differ in at most `most` bits.
+def trie_links(values: np.ndarray, pairs: list[np.ndarray], depth: np.ndarray, budget: np.ndarray, chunk: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Walk pairs of trie nodes together and give the leaf pairs that differ in at most budget[64] bits.
 
     A node is a range of `values`, in which rows that share a node are adjacent and sorted. pairs: the
     arrays low and high of the first nodes, then those of the second ones, then the bits in which their
-    prefixes already differ. depth: bits consumed so far. A pair goes to a direct comparison when both
-    nodes hold one value; it is dropped as soon as its error budget is exceeded.
+    prefixes already differ. depth: bits consumed so far, 0 for the root paired with itself. A pair goes to a
+    direct comparison when both nodes hold one value; it is dropped as soon as its prefixes of d bits differ in
+    more than budget[d] bits.
     """
     ones: dict[int, np.ndarray] = {}
+    most = int(budget[64])
 
     def split(low, high, bit):
         if bit not in ones:
@@ -100,44 +103,44 @@ def trie_links(values: np.ndarray, pairs: list[np.ndarray], depth: np.ndarray, m
         cross = ~same
         new.append([x[cross] for x in (am, ah, bl, bm, off + 1)])
         al, ah, bl, bh, off = (np.concatenate(x) for x in zip(*new, strict=True))
-        live = (ah > al) & (bh > bl) & (off <= most) & ~((al == bl) & (ah - al == 1) & (bh - bl == 1))
+        live = (ah > al) & (bh > bl) & (off <= budget[bit + 1]) & ~((al == bl) & (ah - al == 1) & (bh - bl == 1))
         stack.append((bit + 1, [x[live] for x in (al, ah, bl, bh, off)]))
 
 
 def _forest(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The least row of each row's component."""
+    """The least row of each row's component; links are merged as they come, none is held."""
     label = np.arange(n)
-    held = [(i, j) for i, j in links]
-    if not held:
-        return label
-    i, j = (np.concatenate(x) for x in zip(*held, strict=True))
-    while True:
-        before = label.copy()
-        low = np.minimum(label[i], label[j])
-        for side in (i, j):
-            np.minimum.at(label, label[side], low)
-            np.minimum.at(label, side, low)
-        while (label != label[label]).any():
-            label = label[label]
-        if (label == before).all():
-            return label
+    for i, j in links:
+        while True:
+            a, b = label[i], label[j]
+            apart = a != b
+            if not apart.any():
+                break
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+            while (label != (shorter := label[label])).any():
+                label = shorter
+    return label
 
 
 def _join_task(most: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        budget = np.where(np.arange(65) <= TOP, 0, most)
         for frame in in_groups(batches, "gid", 100_000):
-            gid, side, rot = frame["gid"].to_numpy(), frame["side"].to_numpy(), frame["rot"].to_numpy().view(np.uint64)
-            order = np.lexsort((rot, side, gid))
-            gid, side, rot = gid[order], side[order], rot[order]
+            side, rot, refined = frame["side"].to_numpy(), frame["rot"].to_numpy().view(np.uint64), frame["depth"].to_numpy() > TOP
+            trie = np.where(refined, frame["gid"].to_numpy(), frame["r"].to_numpy())  # the rows of a rotation are one trie, walked from its root
+            order = np.lexsort((rot, side, trie, refined))
+            trie, side, rot, refined = trie[order], side[order], rot[order], refined[order]
             fp, depth, off = (frame[c].to_numpy()[order] for c in ("fp", "depth", "off"))
-            start = np.flatnonzero(np.r_[True, (gid[1:] != gid[:-1]) | (side[1:] != side[:-1])])
-            end = np.r_[start[1:], len(gid)]
+            depth = np.where(refined, depth, 0)
+            start = np.flatnonzero(np.r_[True, (trie[1:] != trie[:-1]) | (side[1:] != side[:-1]) | (refined[1:] != refined[:-1])])
+            end = np.r_[start[1:], len(trie)]
             s = side[start]
             own = (s == 0) & (end - start > 1)
-            first = np.flatnonzero((s[:-1] == 1) & (s[1:] == 2) & (gid[start[:-1]] == gid[start[1:]]))
+            first = np.flatnonzero((s[:-1] == 1) & (s[1:] == 2) & (trie[start[:-1]] == trie[start[1:]]))
             pairs = [np.concatenate(x) for x in ((start[own], start[first]), (end[own], end[first]), (start[own], start[first + 1]), (end[own], end[first + 1]))]
             pairs.append(off[pairs[0]])
-            label = _forest(len(gid), trie_links(rot, pairs, depth[pairs[0]], most))
+            label = _forest(len(trie), trie_links(rot, pairs, depth[pairs[0]], budget))
             moved = fp != fp[label]
             yield pd.DataFrame({"a": fp[moved], "b": fp[label][moved]})
 
@@ -156,22 +159,24 @@ def _children(nodes: DataFrame, most: int, bits: int) -> DataFrame:
     first = F.when(F.col("side") == 0, F.least("c", "o")).when(F.col("side") == 1, F.col("c")).otherwise(F.col("o"))
     second = F.when(F.col("side") == 0, F.greatest("c", "o")).when(F.col("side") == 1, F.col("o")).otherwise(F.col("c"))
     side = F.when((F.col("side") != 0), F.col("side")).when(F.col("c") == F.col("o"), 0).when(F.col("c") < F.col("o"), 1).otherwise(2)
-    out = out.select(F.xxhash64(F.col("gid"), F.col("depth"), first, second).alias("gid"), side.alias("side"), "rot", "fp", (F.col("depth") + bits).cast("int").alias("depth"), "off")
+    out = out.select(F.xxhash64(F.col("gid"), F.col("depth"), first, second).alias("gid"), side.alias("side"), "r", "rot", "fp", (F.col("depth") + bits).cast("int").alias("depth"), "off")
     full = out.groupBy("gid").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("side"))).alias("sides")).where("sides not in (2, 4)")
-    return out.join(full.select("gid"), "gid", "left_semi").select("gid", "side", "rot", "fp", "depth", "off")
+    return out.join(full.select("gid"), "gid", "left_semi").select("gid", "side", "r", "rot", "fp", "depth", "off")
 
 
 def near_links(fps: DataFrame, most: int = 2, max_node: int = 1024, bits: int = 3) -> DataFrame:
     """(a, b): links between distinct fingerprints whose components are those of all pairs within `most` (0 to 2) bits.
 
-    Two fingerprints that close agree in one of three blocks of 21 bits. Each fingerprint is rotated so that
-    one block after another leads; a leading block is a trie node, from which a task joins the trie with
-    itself. A node of more than max_node rows is first refined into pairs of child nodes, which are tasks
-    of their own. A task emits a spanning forest instead of all pairs of a dense cluster: no component is lost.
+    Binary trie self-join over all 64 bits, dealt to tasks: two fingerprints that close agree in one of three blocks
+    of 21 bits, so each fingerprint goes into three tries, rotated so that one block after another leads, and a pair
+    may differ nowhere in the leading block and in `most` bits in all. Subtries of equal leading blocks go to one
+    task, which walks pairs of nodes from the root of what it holds. A subtrie of more than max_node rows is first
+    refined into pairs of child nodes by the same budget, which are tasks of their own. A task emits a spanning forest
+    instead of all pairs of a dense cluster: no component is lost.
     """
     rotated = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), (F.col("fp") if not r else F.shiftleft("fp", r).bitwiseOR(F.shiftrightunsigned("fp", 64 - r))).alias("rot")) for r in (0, TOP, 2 * TOP)]))
     nodes = fps.select("fp").distinct().select("fp", rotated.alias("x")).select("fp", "x.r", "x.rot")
-    nodes = nodes.select(F.xxhash64("r", F.shiftrightunsigned("rot", 64 - TOP)).alias("gid"), F.lit(0).alias("side"), "rot", "fp", F.lit(TOP).alias("depth"), F.lit(0).alias("off"))
+    nodes = nodes.select(F.xxhash64("r", F.shiftrightunsigned("rot", 64 - TOP)).alias("gid"), F.lit(0).alias("side"), F.col("r").cast("byte").alias("r"), "rot", "fp", F.lit(TOP).alias("depth"), F.lit(0).alias("off"))
     ready = []
     while True:
         nodes = kept(nodes, "trie")
