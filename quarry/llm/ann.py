@@ -11,18 +11,23 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import in_groups, kept, partitions, tune
+from quarry.llm.shared import drop_kept, kept, tune
 
 
 @dataclass(frozen=True)
 class Settings:
-    """sample: rows on which the tree is fitted, about; branch: children of a node; leaf: sampled rows from which a node is
-    split; recall: what a calibration sample of `trial` queries must reach, against brute force; rows: vectors of one block."""
+    """sample: rows on which the tree's upper part is fitted, about; branch: children of a node; leaf: sampled rows from which a
+    node is split; heavy: rows from which a leaf is split again, on a sample of its own of about `again` rows; most: leaves at
+    most, which bounds the tree that is broadcast; recall: what a calibration sample of `trial` queries must reach, against
+    brute force; rows: vectors of one block."""
 
     sample: int = 20_000
     branch: int = 8
     leaf: int = 400
-    recall: float = 0.97
+    heavy: int = 2000
+    again: int = 2000
+    most: int = 1 << 16
+    recall: float = 0.95
     trial: int = 100
     rows: int = 2048
 
@@ -45,11 +50,26 @@ class Tree:
             children[node] = (first, first + len(c))
             todo += [(first + k, rows[own == k]) for k in range(len(c))]
         self.centres, self.children = np.array(centres), children
-        self.leaf_of = np.full(len(children), -1)
-        ends = [n for n, (a, b) in enumerate(children) if a == b]
+        self._number()
+
+    def _number(self) -> None:
+        self.leaf_of = np.full(len(self.children), -1)
+        ends = [n for n, (a, b) in enumerate(self.children) if a == b]
         self.leaf_of[ends] = np.arange(len(ends))
         self.leaves = len(ends)
 
+    def graft(self, parts: dict[int, tuple[np.ndarray, list[tuple[int, int]]]]) -> None:
+        """Put (centres, children) of other trees, whose roots are left out, in the place of leaves."""
+        node_of = np.flatnonzero(self.leaf_of >= 0)
+        centres = [self.centres]
+        for leaf, (more, children) in sorted(parts.items()):
+            by = len(self.children) - 1
+            self.children[node_of[leaf]] = (children[0][0] + by, children[0][1] + by)
+            self.children += [(a + by, b + by) if a < b else (0, 0) for a, b in children[1:]]
+            centres.append(more[1:])
+        self.centres = np.concatenate(centres)
+        self._number()
+
     @staticmethod
     def _kmeans(x: np.ndarray, k: int, rng, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
         c = x[rng.choice(len(x), k, replace=False)]
@@ -166,36 +186,9 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", settings: Settings = Settings()) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k rows of largest inner product that the tree finds, nearest first, ties to the smaller id.
-
-    vectors and queries have the columns key and vector. The tree is fitted on a bounded sample and indexes every
-    row; a leaf is searched in blocks of a fixed size, so a vector that many rows share is dealt to many tasks.
-    Queries visit leaves best bin first, as many as a calibration against brute force needs for the recall that
-    the settings ask for, and more where these hold fewer than k rows. Vectors that are null, zero, of
-    another length than most, or hold null or non-finite components take no part, nor do rows with a null key.
-    Repeated ids are candidates each; a query's own id never is.
-    """
-    spark = vectors.sparkSession
-    tune(spark)
-
-    def usable(df: DataFrame) -> DataFrame:
-        v = F.col(vector).cast("array<double>")
-        ok = F.col(key).isNotNull() & (F.size(v) > 0) & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(v, lambda c: c != 0)
-        return df.select(F.col(key).cast("long").alias("vec_id"), v.alias("vector")).where(ok)
-
-    rows = usable(vectors)
-    sizes = rows.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    if not sizes:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    d, n = sizes[0]["d"], sizes[0]["n"]
-    rows = rows.where(F.size("vector") == d)
-    asked = usable(queries).where(F.size("vector") == d).select(F.col("vec_id").alias("query_id"), "vector").dropDuplicates(["query_id"])
-    drawn = F.pmod(F.xxhash64("vec_id", F.lit("sample")), F.lit(1_000_000)) < min(1.0, settings.sample / n) * 1_000_000
-    taken = [(r["vec_id"], r["vector"]) for r in rows.where(drawn).orderBy("vec_id").toLocalIterator()] or [(r["vec_id"], r["vector"]) for r in rows.limit(1).collect()]
-    sample, sample_ids = _matrix([t[1] for t in taken]), np.array([t[0] for t in taken])
-    tree = Tree(sample, settings.branch, settings.leaf)
-    shipped = spark.sparkContext.broadcast(tree)
+def _assigned(rows: DataFrame, tree: Tree) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """Each row with its leaf; rows and radius (-1: empty) of each leaf."""
+    shipped = rows.sparkSession.sparkContext.broadcast(tree)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tree = shipped.value
@@ -207,13 +200,59 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
                 yield batch.assign(leaf=leaf, away=np.linalg.norm(x - centres[leaf], axis=1))
 
     rows = kept(rows.mapInPandas(assign, "vec_id long, vector array<double>, leaf long, away double"), "ann-leaves")
-    stats = {r["leaf"]: (r["n"], r["r"]) for r in rows.groupBy("leaf").agg(F.count("*").alias("n"), F.max("away").alias("r")).collect()}
-    radius = np.full(tree.leaves, -1.0)
-    held = np.zeros(tree.leaves, dtype=np.int64)
-    for leaf, (count, r) in stats.items():
-        radius[leaf], held[leaf] = r, count
+    held, radius = np.zeros(tree.leaves, dtype=np.int64), np.full(tree.leaves, -1.0)
+    for r in rows.groupBy("leaf").agg(F.count("*").alias("n"), F.max("away").alias("r")).collect():
+        held[r["leaf"]], radius[r["leaf"]] = r["n"], r["r"]
+    return rows, held, radius
+
+
+def _split_heavy(rows: DataFrame, tree: Tree, held: np.ndarray, settings: Settings) -> bool:
+    """Fit a tree to a bounded sample of each leaf that holds too many rows, a task each, and graft it; whether any leaf was split."""
+    heavy = np.flatnonzero(held > settings.heavy)
+    heavy = heavy[np.argsort(-held[heavy])][: max(0, settings.most - tree.leaves) // settings.branch]
+    if not len(heavy):
+        return False
+    share = np.zeros(tree.leaves)
+    share[heavy] = np.minimum(1.0, settings.again / held[heavy])
+    of = rows.sparkSession.sparkContext.broadcast(held)
+    drawn = F.pmod(F.xxhash64("vec_id", "vector", F.lit("again")), F.lit(1_000_000)) < F.element_at(F.lit(share).cast("array<double>"), (F.col("leaf") + 1).cast("int")) * 1_000_000
+
+    def fit(key, x: pd.DataFrame) -> pd.DataFrame:
+        n = int(of.value[key[0]])
+        tree = Tree(_matrix(x.sort_values("vec_id")["vector"]), settings.branch, max(settings.branch, settings.heavy * min(settings.again, n) // (2 * n)))
+        if tree.leaves < 2:
+            return pd.DataFrame({"leaf": [], "centres": [], "first": [], "last": []})
+        return pd.DataFrame({"leaf": [key[0]], "centres": [tree.centres.ravel()], "first": [[a for a, _ in tree.children]], "last": [[b for _, b in tree.children]]})
+
+    fitted = rows.where(drawn).groupBy("leaf").applyInPandas(fit, "leaf long, centres array<double>, first array<int>, last array<int>")
+    parts, room = {}, settings.most - tree.leaves
+    for r in fitted.orderBy("leaf").toLocalIterator():
+        children = list(zip(r["first"], r["last"], strict=True))
+        room -= sum(a == b for a, b in children)
+        if room >= 0:
+            parts[r["leaf"]] = (np.array(r["centres"]).reshape(len(children), -1), children)
+    tree.graft(parts)
+    return bool(parts)
+
+
+def fit_index(rows: DataFrame, asked: DataFrame, k: int, settings: Settings) -> tuple | None:
+    """(tree, radii, rows of each leaf, leaves that a query visits, sample, its ids, rows with their leaf, queries) for rows (vec_id, vector)."""
+    sizes = rows.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
+    if not sizes:
+        return None
+    d, n = sizes[0]["d"], sizes[0]["n"]
+    rows = rows.where(F.size("vector") == d)
+    asked = asked.where(F.size("vector") == d).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("vector").alias("vector"))
+    drawn = F.pmod(F.xxhash64("vec_id", F.lit("sample")), F.lit(1_000_000)) < min(1.0, settings.sample / n) * 1_000_000
+    taken = [(r["vec_id"], r["vector"]) for r in rows.where(drawn).orderBy("vec_id", "vector").toLocalIterator()] or [(r["vec_id"], r["vector"]) for r in rows.limit(1).collect()]
+    sample, sample_ids = _matrix([t[1] for t in taken]), np.array([t[0] for t in taken])
+    tree = Tree(sample, settings.branch, settings.leaf)
+    rows, held, radius = _assigned(rows, tree)
+    while _split_heavy(rows, tree, held, settings):
+        before = rows
+        rows, held, radius = _assigned(before.select("vec_id", "vector"), tree)
+        drop_kept(before)
     radii = tree.radii(radius)
-
     total = asked.count()
     few = F.pmod(F.xxhash64("query_id", F.lit("trial")), F.lit(1_000_000)) < min(1.0, settings.trial / max(total, 1)) * 1_000_000
     trial = [(r["query_id"], np.array(r["vector"])) for r in asked.where(few).orderBy("query_id").toLocalIterator()]
@@ -224,6 +263,32 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
         needed = np.sort([order[r["query_id"]][r["leaf"]] + 1 for r in best])
         if len(needed):
             visits = int(needed[min(len(needed) - 1, int(np.ceil(settings.recall * len(needed))))])
+    return tree, radii, held, visits, sample, sample_ids, rows, asked
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", settings: Settings = Settings()) -> DataFrame:
+    """(query_id, rank, vec_id, score): each query's k rows of largest inner product that the tree finds, nearest first, ties to the smaller id.
+
+    vectors and queries have the columns key and vector. The tree is fitted on a bounded sample and indexes every
+    row; a leaf is searched in blocks of a fixed size, so a vector that many rows share is dealt to many tasks.
+    Queries visit leaves best bin first, as many as a calibration against brute force needs for the recall that
+    the settings ask for, and more where these hold fewer than k rows. The number of leaves grows with the rows, up to
+    settings.most. Vectors that are null, zero, of another length than most, or hold null or non-finite components take
+    no part, nor do rows with a null key. Repeated ids are candidates each; a query's own id never is, and of a query id
+    with several vectors the least one counts. An empty table of either kind gives an empty result.
+    """
+    spark = vectors.sparkSession
+    tune(spark)
+
+    def usable(df: DataFrame) -> DataFrame:
+        v = F.col(vector).cast("array<double>")
+        ok = F.col(key).isNotNull() & (F.size(v) > 0) & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(v, lambda c: c != 0)
+        return df.select(F.col(key).cast("long").alias("vec_id"), v.alias("vector")).where(ok)
+
+    index = fit_index(usable(vectors), usable(queries), k, settings)
+    if index is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    tree, radii, held, visits, sample, sample_ids, rows, asked = index
     plan = spark.sparkContext.broadcast((tree, radii, held, visits, sample, sample_ids, tree.assign(sample)))
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
