@@ -113,8 +113,11 @@ def _chunks(stream) -> Iterator[bytes]:
         yield data
 
 
-def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
-    """Write a record per row as archives of one gzip stream each, one for each partition; gives the files as (path, records).
+def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", body: str = "html", most_bytes: int = 256 << 20) -> DataFrame:
+    """Write a record per row as archives of one gzip stream each; gives the files as (path, records).
+
+    A partition begins a new archive once its last one holds most_bytes before compression, which bounds what one
+    task has to normalise later, but for a single longer record.
 
     Of rows with equal payloads, that of the largest key is a response and the others revisit it. Only the
     table of payloads that repeat is joined to the rows, so payloads are not shuffled where it is small. A task
@@ -130,20 +133,32 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
         import pyarrow as pa
 
         context = TaskContext.get()
-        path = f"{folder}/part-{context.partitionId():05d}-{context.taskAttemptId()}.warc.gz"
-        store, place = _store(path)
-        n, out, stream = 0, None, zlib.compressobj(1, zlib.DEFLATED, 31)
+        done: list[tuple[str, int]] = []
+        out = stream = path = None
+        n = size = 0
+
+        def close():
+            out.write(stream.flush())
+            out.close()
+            done.append((path, n))
+
         for batch in batches:
             for k, u, b, r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
+                    path = f"{folder}/part-{context.partitionId():05d}-{len(done):05d}-{context.taskAttemptId()}.warc.gz"
+                    store, place = _store(path)
                     store.create_dir(place.rpartition("/")[0])
-                    out = store.open_output_stream(place, compression=None)
-                out.write(stream.compress(record(k, u, b, r)))
-                n += 1
+                    out, stream = store.open_output_stream(place, compression=None), zlib.compressobj(1, zlib.DEFLATED, 31)
+                    n = size = 0
+                data = record(k, u, b, r)
+                out.write(stream.compress(data))
+                n, size = n + 1, size + len(data)
+                if size >= most_bytes:
+                    close()
+                    out = None
         if out is not None:
-            out.write(stream.flush())
-            out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n])], names=["path", "records"])
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], names=["path", "records"])
 
     return kept(rows.mapInArrow(run, "path string, records long"), "archives")
 
