@@ -64,13 +64,15 @@ class Buckets(dict):
     def __init__(self, live: np.ndarray):
         super().__init__()
         self.none = len(live)
-        self.rows = np.full(BUCKETS, self.none)
-        self.rows[live] = np.arange(len(live))
+        self.rows = [self.none] * BUCKETS
+        for row, bucket in enumerate(live.tolist()):
+            self.rows[bucket] = row
 
     def __missing__(self, word: bytes) -> int:
-        row = int(self.rows[crc32(word) % BUCKETS])
-        if len(self) < 500_000:
-            self[word] = row
+        row = self.rows[crc32(word) % BUCKETS]
+        if len(self) >= 300_000:
+            self.clear()
+        self[word] = row
         return row
 
 
