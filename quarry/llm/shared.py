@@ -49,6 +49,15 @@ def drop_kept(*tables: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Keys of at most so many rows are broadcast to a join; longer lists are shuffled.
+SMALL = 2_000_000
+
+
+def by_keys(df: DataFrame, keys: DataFrame, on: Column, how: str) -> DataFrame:
+    """A left_semi or left_anti join to a kept table of keys, which is counted first and broadcast if it is short: df is not shuffled then."""
+    return df.join(F.broadcast(keys) if keys.count() <= SMALL else keys, on, how)
+
+
 def named(*names: str) -> list[Column]:
     """Columns by their exact names, whatever characters these hold."""
     return [F.col(f"`{n.replace('`', '``')}`") for n in names]
