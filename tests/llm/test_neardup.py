@@ -54,3 +54,21 @@ def test_empty_null_and_repeated_rows(spark):
 def test_chains_are_one_group():
     sets = [np.arange(i, i + 50, dtype=np.uint64) for i in (0, 5, 10, 100)]
     assert neardup.linked(sets, 0.8).tolist() == [0, 0, 0, 3]
+
+
+def test_large_groups_are_dealt_to_many_tasks(spark):
+    """Groups of more than two classes go by stars, tiles and chunks, and lose no link; the columns keep their names."""
+    texts = _texts()
+    docs = spark.createDataFrame([(i, t, "en", 1.5) for i, t in enumerate(texts)], "doc_id long, text string, lang string, `a.b` double")
+    out = neardup.jaccard_dedup(docs, group=2, tile=2)
+    assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == _plain(texts)
+
+
+def test_chains_in_large_groups(spark):
+    """Each text is near to the next one only: the group's least class is far from most, and all are one group."""
+    rnd = random.Random(5)
+    words = [f"{rnd.choice('abcdefgh')}{i}" for i in range(400)]
+    texts = [" ".join(words[i * 8 : i * 8 + 200]) for i in range(20)]
+    docs = spark.createDataFrame(enumerate(texts), "doc_id long, text string")
+    for group in (1024, 3):
+        assert sorted(r["doc_id"] for r in neardup.jaccard_dedup(docs, group=group, tile=3).collect()) == _plain(texts) == [0]

@@ -107,6 +107,14 @@ def test_warc_round_trip(spark):
     assert warc.warc_round_trip(spark, df.limit(0)).count() == 0
 
 
+def test_archives_have_a_bounded_size(spark, tmp_path):
+    df = spark.createDataFrame([(i, "http://x/", "p" * 1000 + str(i)) for i in range(100)], "page_id long, url string, html string").coalesce(1)
+    files = warc.write_archives(df, f"file://{tmp_path}/a", most_bytes=10_000).collect()
+    assert sum(r["records"] for r in files) == 100 and max(r["records"] for r in files) <= 8
+    members = warc.normalise_archives(spark.createDataFrame(files), f"file://{tmp_path}/b")
+    assert sorted(r["page_id"] for r in warc.read_records(members).collect()) == list(range(100))
+
+
 def test_normaliser_gives_members_and_offsets(tmp_path):
     import json
 
@@ -206,6 +214,30 @@ def test_ann_finds_nearly_all(spark):
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_ann_visits_few_of_many_leaves(spark):
+    """50,000 rows in clusters: heavy leaves are split again, a query visits a small part, and recall over all queries is 0.9 at least."""
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((400, 32)) * 2
+    x = (centres[rng.integers(0, 400, 50_000)] + rng.standard_normal((50_000, 32)) * 0.5).astype("float32")
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    settings = ann.Settings(sample=4000, leaf=200, heavy=500, again=1000)
+    asked = df.where("vec_id % 20 = 0")
+    as_rows = lambda t: t.select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
+    tree, _, held, visits, *_ = ann.fit_index(as_rows(df), as_rows(asked), 20, settings)
+    small = ann.Tree(x[:4000].astype(float), 8, 200).leaves
+    assert tree.leaves > 2 * small and held.sum() == 50_000 and visits < tree.leaves / 4
+    found = {}
+    for r in ann.nearest(df, asked, 20, settings=settings).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    x = x.astype(float)
+    hit = 0
+    for q in range(0, 50_000, 20):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hit += len(found[q] & set(np.argpartition(-score, 20)[:20].tolist()))
+    assert len(found) == 2500 and hit / 50_000 >= 0.9
+
+
 # ---------------------------------------------------------------------- spans
 
 SPANS = [
@@ -290,6 +322,21 @@ def test_url_rules_and_trees(spark):
     assert urls.judge_urls(df.limit(0)).count() == 0
 
 
+def test_trees_on_urls_held_out(spark):
+    """URLs that a rule labels: trees that learned from four fifths of them judge the rest."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    host, path = urls.parts(F.col("url"))
+    rows = pages.select("url", host.alias("host"), path.alias("path"))
+    rows = rows.withColumn("ruled", urls.match_rule(F.col("host"), F.col("path"), urls.RULES)[1]).where("ruled is not null").select("url", "ruled").distinct().collect()
+    sets = [[], []]
+    for r in rows:
+        sets[zlib.crc32(r["url"].encode()) % 5 == 0].append((r["url"], int(r["ruled"] == "block")))
+    model = urls.Trees.fit(*map(list, zip(*sorted(sets[0]), strict=True)))
+    p = model.predict([u for u, _ in sets[1]])
+    right = np.mean((p >= 0.5) == np.array([label for _, label in sets[1]], dtype=bool))
+    assert len(sets[1]) >= 20 and right >= 0.9, (len(sets[1]), right)
+
+
 def test_trees_learn():
     good = [f"https://site{i}.example.com/article/{i}" for i in range(300)]
     bad = [f"http://x{i}-{i}9-promo.example.com/a/b/c/{i}{i}?u={i}&v={i}&w=1" for i in range(300)]
