@@ -14,6 +14,7 @@ from quarry.operators import lookups as L
 from quarry.plans.build import build_tables
 from quarry.plans.runtime import settled
 from quarry.sources import catalog, lsp, scan
+from quarry.streaming.ingest import extraction_stream, latest
 
 
 class NotFound(LookupError):
@@ -80,6 +81,14 @@ class Index:
         reused = self.tables["extracted"].join(stale.select("path"), "path", "left_anti")
         return self._store(*build_tables(self.spark, self.root, sources, self.definitions, reused))
 
+    def index_stream(self, table: str, checkpoint: str, files_per_batch: int = 100) -> dict:
+        """Extract what is new under the root in batches of files, into a table that grows, and build the index from the last rows of
+        all files that are still there. A run that was cut off goes on from its checkpoint."""
+        extraction_stream(self.spark, self.root, table, checkpoint, files_per_batch).awaitTermination()
+        rows = latest(self.spark, table).join(self._disk().select("path"), "path", "left_semi")
+        none = scan.scan_sources(self.spark, self.root).where(F.lit(False))
+        return self._store(*build_tables(self.spark, self.root, none, self.definitions, rows))
+
     def delete_files(self, paths: list[str]) -> int:
         """Take files out of the index, with their symbols, references from and to these, and edges; gives how many there were."""
         return self._without(self.files.where(F.col("path").isin([self._path(p) for p in paths])))

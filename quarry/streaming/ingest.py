@@ -1,5 +1,5 @@
 """Incremental indexing: new source files arrive as a stream and are extracted in small batches. An extension;
-a file stream does not see that a known path has changed, which staleness() and without_files() are for."""
+a file stream does not see that a known path has changed, which Index.update() is for."""
 
 from __future__ import annotations
 

@@ -80,6 +80,19 @@ def test_deleting_and_purging(work):
     assert [r["path"] for r in index.get_files_by_ids(ids).collect()] == got["files"]
 
 
+def test_an_index_from_a_stream_equals_one_at_once(work, spark, tmp_path_factory):
+    root, index = work
+    side = tmp_path_factory.mktemp("stream")
+    streamed = Index(spark, str(root), str(side / "index"))
+    assert streamed.index_stream(str(side / "table"), str(side / "marks"), 2)["files"] == 4
+    assert whole(streamed) == whole(index)
+    write(root, {"src/d.rs": "pub fn more() { crate::top(); }\n"})
+    (root / "src/b.rs").unlink()
+    assert streamed.index_stream(str(side / "table"), str(side / "marks"), 2)["files"] == 4
+    index.update()
+    assert whole(streamed) == whole(index)
+
+
 SERVER = '''
 import json, sys, os
 root = os.getcwd()
