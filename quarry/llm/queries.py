@@ -82,7 +82,7 @@ def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LUHN = "list_sum(list_transform(range(length(d)), lambda i: (CAST(substr(d, CAST(length(d) - i AS BIGINT), 1) AS INT) * (1 + i % 2)) - CASE WHEN CAST(substr(d, CAST(length(d) - i AS BIGINT), 1) AS INT) * (1 + i % 2) > 9 THEN 9 ELSE 0 END)) % 10 = 0"
-PII_ORACLE = f"""
+PII_ORACLE = rf"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents)
 SELECT doc_id, CAST(len(regexp_extract_all(x, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')) AS BIGINT) AS n_email,
        CAST(len(list_filter(regexp_extract_all(x, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), lambda m: list_bool_and(list_transform(string_split(m, '.'), lambda p: length(ltrim(p, '0')) <= 3 AND CAST('0' || right(p, 3) AS INT) <= 255)))) AS BIGINT) AS n_ip,
