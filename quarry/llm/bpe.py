@@ -11,13 +11,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import tune
+from quarry.llm.shared import trim, tune
 
 #: Pieces longer than this many characters are not memoised; the transducer streams over them.
 MEMO_CHARS = 48
 #: Bounds of the tables; the pieces and pairs of the last generation stay until as many new ones have come.
-MEMO_PIECES = 400_000
-MAX_PAIRS = 250_000
+MEMO_PIECES = 300_000
+MAX_PAIRS = 150_000
 MAX_STATES = 60_000
 #: Transitions are kept from states of fewer pending bytes, which many pieces pass; later ones are simulated.
 SHARED = 4
@@ -270,6 +270,7 @@ def _on_worker(ranks_bytes, pattern: str, held: dict = {}) -> tuple[Encoder, dic
     key = (ranks_bytes.id if hasattr(ranks_bytes, "id") else id(ranks_bytes), pattern)
     if key not in held:
         held.clear()
+        trim()
         gc.set_threshold(200_000, 50, 1000)  # tables of many small objects that last
         ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, ranks_bytes.value.splitlines())}
         held[key] = Encoder(ranks, pattern), {str(r): t for t, r in ranks.items()}

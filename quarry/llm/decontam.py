@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quarry.llm.shared import kept, partitions, tune
+from quarry.llm.shared import kept, partitions, trim, tune
 
 #: A-Z lower-cased and ASCII punctuation as blanks; bytes of other characters stay.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -345,6 +345,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
         def run(batches):
             import pyarrow as pa
 
+            trim()
             index = shipped.value
             for batch in batches:
                 found = list(index.search(batch.column(1).to_pylist()))

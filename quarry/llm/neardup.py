@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.components import components
-from quarry.llm.shared import by_keys, drop_kept, in_groups, kept, named, partitions, tune
+from quarry.llm.shared import by_keys, drop_kept, in_groups, kept, named, partitions, trim, tune
 from quarry.llm.simhash import majority, near_links, shingles
 
 #: A pair of similarity 0.8 shares one of 30 bands of 6 minima with a probability of 1 - (1 - 0.8^6)^30 = 0.9999.
@@ -136,6 +136,7 @@ def jaccard_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", widt
     def sign(batches):
         import pyarrow as pa
 
+        trim()
         for batch in batches:
             cls, fps, marks = [], [], []
             for t in batch.column(1).to_pylist():

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -63,6 +65,14 @@ def named(*names: str) -> list[Column]:
     return [F.col(f"`{n.replace('`', '``')}`") for n in names]
 
 
+def trim() -> None:
+    """Give a worker's freed memory back to the system, where the C library can: operators of different needs share workers."""
+    gc.collect()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release:
+        release(0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
