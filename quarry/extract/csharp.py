@@ -33,6 +33,7 @@ class Scanner:
         self.text, self.places = text, Places(text)
         self.toks = tokens(text, "csharp")
         self.close = matching(self.toks)
+        self.opened: dict[int, int] | None = None
         self.found = Found()
 
     def run(self) -> Found:
@@ -260,6 +261,21 @@ class Scanner:
         self.uses(stop + 1, last, own)
         return last + 1
 
+    def begin(self, i: int) -> int:
+        """Where the expression begins whose last token is at i: the parts before a bracket's opening, and new."""
+        if self.opened is None:
+            self.opened = {b: a for a, b in self.close.items()}
+        while self.at(i) in (")", "]") and i in self.opened:
+            i = self.opened[i] - 1
+            while self.kind(i) == "ident" and self.at(i - 1) == "." and self.kind(i - 2) == "ident":
+                i -= 2
+            if self.at(i - 1) == "new":
+                return i - 1
+            if self.at(i - 1) != ".":
+                return i
+            i -= 3 if self.at(i - 2) == "?" else 2
+        return i
+
     def uses(self, a: int, b: int, owner: dict | None) -> None:
         i = a
         while i < b:
@@ -276,6 +292,7 @@ class Scanner:
                 i += 1
                 continue
             chain, j = [i], i
+            place = self.begin(i - 3 if self.at(i - 2) == "?" else i - 2) if member else i  # a path stands where its first part does
             while self.at(j + 1) in (".", "?") and (self.at(j + 1) == "." or self.at(j + 2) == "."):
                 j += 2 if self.at(j + 1) == "." else 3
                 if self.kind(j) != "ident":
@@ -286,10 +303,10 @@ class Scanner:
             if self.at(after) == "(":
                 path = [n for n in names[:-1] if n not in ("this", "base")]
                 if names[-1] not in KEYWORDS:
-                    self.ref(chain[-1], names[-1], "call", path, owner)
+                    self.ref(place, names[-1], "call", path, owner)
             else:
                 for n in range(0 if member else 1, len(names)):
-                    self.ref(chain[n], names[n], "field_access", names[:n], owner)
+                    self.ref(place, names[n], "field_access", names[:n], owner)
             i = chain[-1] + 1
 
 

@@ -170,10 +170,13 @@ class Scanner:
                 kind = "type_alias" if word == "type" else word
                 if self.at(i + 1 + shift) != "_" and not (method and word == "type"):
                     self.symbol(self.at(i + 1 + shift), kind, first, last, visibility, parent if method else None, attrs)
-                self.uses(i + 2 + shift, last, None, None, set())
+                if word == "type":
+                    self.types(self.skip_generics(i + 2), last, None)
+                else:
+                    self.uses(i + 2 + shift, last, None, None, set())
                 i = last + 1
             elif word == "use":
-                i = self.use(i + 1, end, visibility != "private", i)
+                i = self.use(i + 1, end, visibility != "private", first)
             elif word == "macro_rules" and self.at(i + 1) == "!":
                 last = self.close.get(i + 3, i + 3)
                 self.symbol(self.at(i + 2), "macro", first, last, "public", None, attrs)
@@ -356,7 +359,7 @@ class Scanner:
         for module, name, alias, at in leaves:
             self.found.imports.append({"module": "::".join(module), "name": name, "alias": alias, "line": line, "public": public})
             if public and name != "*":
-                self.ref(at, name, "reexport", module, None)
+                self.ref(first, name, "reexport", None, None)  # stands where the declaration begins, by its bare name
         return stop + 1
 
     def use_tree(self, i: int, end: int, prefix: list[str], out: list, grouped: bool) -> None:
@@ -481,9 +484,9 @@ class Scanner:
                     of = self_type if receiver == "self" and lone else known.get(receiver) if lone else None
                     self.ref(i, t, "method", [of] if of else None, owner)
             elif self.at(after) == "(" and t not in KEYWORDS:
-                self.ref(i, t, "call", path, owner)
+                self.ref(start, t, "call", path, owner)  # a path's place is that of its first part
             elif self.at(after) == "{" and t[0].isupper() and self.literal(i, start):
-                self.ref(i, t, "construct", path, owner)
+                self.ref(start, t, "construct", path, owner)
             elif t[0].isupper() and t not in KEYWORDS and not path and (self.at(i - 1) in (":", "<", "as", "&", "->", ",", "mut", "dyn", "impl", "for") or self.at(after) in (">",)) and len(t) > 1:
                 self.ref(i, t, "type", None, owner)
             elif path and path[-1][0].isupper() and t[0].islower() is False:

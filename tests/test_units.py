@@ -215,3 +215,15 @@ def test_signatures_and_numbers(spark):
     assert got == cases
     row = spark.range(1).select(T.rounded(F.lit(0.125), 2), T.bar(F.lit(0.26), 4), T.bar(F.lit(1.5), 3)).first()
     assert tuple(row) == ("0.13", "█░░░", "███")
+
+
+def test_places_of_paths_and_reexports():
+    """A path stands where its first part does, a re-export where its declaration begins; an alias uses the type it names."""
+    found = rust.extract("pub use deep::wide;\ntype Short = Vec<Outer>;\nfn f() { one::two::three(); four(); x.five(); }\n")
+    got = [(r["name"], r["kind"], r["path"], r["line"], r["column"]) for r in found.refs]
+    assert ("wide", "reexport", None, 1, 1) in got and ("Outer", "type", None, 2, 18) in got
+    assert ("three", "call", ["one", "two"], 3, 10) in got and ("four", "call", None, 3, 29) in got and ("five", "method", None, 3, 39) in got
+    text = "class A { void M() { One.Two.Three(); var a = Four.Five; var b = new Six().Seven; Eight().Nine(); } }"
+    got = {(r["name"], r["kind"], tuple(r["path"] or ()), r["column"]) for r in csharp.extract(text).refs}
+    at = lambda word: text.index(word) + 1
+    assert {("Three", "call", ("One", "Two"), at("One")), ("Five", "field_access", ("Four",), at("Four")), ("Six", "construct", (), at("Six")), ("Seven", "field_access", (), at("new")), ("Eight", "call", (), at("Eight")), ("Nine", "call", (), at("Eight"))} <= got
