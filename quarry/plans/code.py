@@ -128,6 +128,7 @@ src/c{k}.rs | out | call | crate::m{n} | 7 | 7
 src/c{k}.rs | S{k} | type | - | 8 | 8
 src/c{k}.rs | new | call | S{k} | 8 | 8
 src/c{k}.rs | helper{k} | call | - | 10 | 10
+src/c{k}.rs | S{k} | type | - | 11 | -
 src/c{k}.rs | S{k} | type | - | 11 | 11
 src/c{k}.rs | make{n} | call | - | 11 | 11
 src/c{k}.cs | Base{n} | inherit | - | 4 | 4
@@ -160,6 +161,7 @@ src/c{k}.rs | call | 7 | - | crate::m{n}::out | - | S{k}::go | S{k}
 src/c{k}.rs | type | 8 | S{k} | - | same_file | helper{k} | -
 src/c{k}.rs | call | 8 | S{k}::new | - | same_file | helper{k} | -
 src/c{k}.rs | call | 10 | helper{k} | - | same_file | checks{k} | -
+src/c{k}.rs | type | 11 | S{k} | - | same_file | - | -
 src/c{k}.rs | type | 11 | S{k} | - | same_file | S{k}::new | S{k}
 src/c{k}.rs | call | 11 | - | make{n} | - | S{k}::new | S{k}
 src/c{k}.cs | inherit | 4 | - | Base{n} | - | C{k} | -
