@@ -146,7 +146,7 @@ def test_a_language_server_binds_what_is_left(spark, tmp_path, capsys):
     index.with_lsp(answers).index()
     again = Index(spark, str(tmp_path))
     assert [(r["name"], r["strategy"]) for r in again.refs_named().where("strategy = 'lsp'").collect()] == [("deep", "lsp")]
-    assert {(r["name"], r["source"]) for r in again.get_lsp_callers("low", command, 20.0).collect()} == {("deep", "index"), ("top", "lsp")}
+    assert {(r["name"], r["source"]) for r in again.get_lsp_callers("low", command, 20.0).collect()} == {("deep", "indexed"), ("top", "lsp")}
     from quarry.cli import main
 
     assert main(["--root", str(tmp_path), "--json", "--lsp", " ".join(command), "callers", "low"], spark) == 0
