@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import trim, tune
+from quarry.llm.shared import HELD, trim, tune
 
 #: Pieces longer than this many characters are not memoised; the transducer streams over them.
 MEMO_CHARS = 48
@@ -266,11 +266,13 @@ def decode_stream(tokens: dict, ids: Iterable, chunk: int = 4096) -> Iterator[st
     yield stream.close()
 
 
-def _on_worker(ranks_bytes, pattern: str, held: dict = {}) -> tuple[Encoder, dict[str, bytes]]:  # noqa: B006  one per worker
+def _on_worker(ranks_bytes, pattern: str) -> tuple[Encoder, dict[str, bytes]]:
+    """One encoder for a worker, until another operator's task comes."""
+    held = HELD.setdefault("bpe", {})
     key = (ranks_bytes.id if hasattr(ranks_bytes, "id") else id(ranks_bytes), pattern)
     if key not in held:
         held.clear()
-        trim()
+        trim("bpe")
         gc.set_threshold(200_000, 50, 1000)  # tables of many small objects that last
         ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, ranks_bytes.value.splitlines())}
         held[key] = Encoder(ranks, pattern), {str(r): t for t, r in ranks.items()}

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import named, tune
+from quarry.llm.shared import named, trim, tune
 
 ORDER = 3
 
@@ -202,6 +202,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     def count(batches):
         import pyarrow as pa
 
+        trim()
         held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -233,6 +234,7 @@ def identify(docs: DataFrame, trees: ByteTrees, text: str = "text", most_bits: f
     def run(batches):
         import pyarrow as pa
 
+        trim()
         trees = shipped.value
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()

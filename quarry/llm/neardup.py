@@ -152,11 +152,13 @@ def jaccard_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", widt
     def sets(batches):
         import pyarrow as pa
 
+        trim()
         for batch in batches:
             found = [np.unique(shingles(t, width)) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.array([_class(u) for u in found], dtype=np.uint64).view(np.int64)), pa.array([u.view(np.int64) for u in found], pa.list_(pa.int64()))], names=["cls", "grams"])
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trim()
         for frame in in_groups(batches, "root", 2000):
             for _, group in frame.groupby("root"):
                 cls = group["cls"].to_numpy()

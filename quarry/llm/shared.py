@@ -65,8 +65,15 @@ def named(*names: str) -> list[Column]:
     return [F.col(f"`{n.replace('`', '``')}`") for n in names]
 
 
-def trim() -> None:
-    """Give a worker's freed memory back to the system, where the C library can: operators of different needs share workers."""
+#: What operators keep in a worker from one task to the next, by operator.
+HELD: dict[str, dict] = {}
+
+
+def trim(keep: str | None = None) -> None:
+    """Drop what other operators keep in this worker, and give freed memory back to the system, where the C library can."""
+    for name, held in HELD.items():
+        if name != keep:
+            held.clear()
     gc.collect()
     release = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if release:
