@@ -16,8 +16,8 @@ from quarry.llm.shared import HELD, trim, tune
 #: Pieces longer than this many characters are not memoised; the transducer streams over them.
 MEMO_CHARS = 48
 #: Bounds of the tables; the pieces and pairs of the last generation stay until as many new ones have come.
-MEMO_PIECES = 300_000
-MAX_PAIRS = 150_000
+MEMO_PIECES = 400_000
+MAX_PAIRS = 250_000
 MAX_STATES = 60_000
 #: Transitions are kept from states of fewer pending bytes, which many pieces pass; later ones are simulated.
 SHARED = 4
