@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from quarry.plans.runtime import settled
 DEFAULT_DEPTH = 50
 #: Edge tables of up to this many rows are walked in one task, which takes their size as a bound; larger ones hop by hop.
 LOCAL_EDGES = 1_000_000
+#: Tables of so many rounds of a walk are written as one, so that plans stay small.
+ROUNDS_APART = 16
 
 
 def reach(edges: DataFrame, src: str, dst: str, seeds: DataFrame, max_depth: int = DEFAULT_DEPTH, keep_seeds: bool = False) -> DataFrame:
@@ -59,6 +62,96 @@ def _reach_in_task(hops: DataFrame, seeds: DataFrame, max_depth: int, keep_seeds
     return hops.groupBy(one).cogroup(seeds.select(F.col("node").cast("long").alias("node")).distinct().groupBy(one)).applyInPandas(run, "node long, depth int")
 
 
+def reachable(edges: DataFrame, src: str, dst: str, seeds: DataFrame) -> DataFrame:
+    """(node): the seeds (node) and all nodes that they lead to, however far.
+
+    Larger edge tables are cut into blocks of about LOCAL_EDGES edges by ranges of src. A round walks each block that
+    new nodes lead into as far as its edges go, so the rounds grow with the changes of block along a path and not with
+    its hops; a graph of long paths over scattered ids has many.
+    """
+    hops = edges.select(F.col(src).cast("long").alias("node"), F.col(dst).cast("long").alias("next")).where("node is not null and next is not null").distinct()
+    hops = settled(hops, "hops")
+    seeds = seeds.select(F.col("node").cast("long").alias("node")).where("node is not null").distinct()
+    n = hops.count()
+    if n <= LOCAL_EDGES:
+        return _reach_in_task(hops, seeds, n, True).select("node")
+    bounds = _bounds(hops, -(-n // max(1, LOCAL_EDGES)))
+
+    def dealt(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for e in parts:
+            first, many = _homes(e["node"], bounds)
+            yield e.assign(block=first + e["next"].to_numpy() % many)
+
+    def entered(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for s in parts:
+            yield _at_homes(s["node"].to_numpy(), bounds)
+
+    def walk(key: tuple, e: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        return _walk_block(int(key[0]), e, s, bounds)
+
+    hops = settled(hops.mapInPandas(dealt, "node long, next long, block long"), "blocks", by="block")
+    fresh = settled(seeds.mapInPandas(entered, "node long, block long"), "fresh")
+    rounds: list[DataFrame] = []
+    done = fresh.limit(0)
+    while live := [r["block"] for r in fresh.select("block").distinct().collect()]:
+        given = fresh.withColumn("fresh", F.lit(True)).unionByName(done.where(F.col("block").isin(live)).withColumn("fresh", F.lit(False)))
+        found = settled(hops.where(F.col("block").isin(live)).groupBy("block").cogroup(given.groupBy("block")).applyInPandas(walk, "node long, block long, inside boolean"), "walked")
+        rounds.append(found.where("inside").select("node", "block"))
+        done = _union(rounds)
+        if len(rounds) >= ROUNDS_APART:
+            done = settled(done, "done")
+            rounds = [done]
+        fresh = settled(found.where("not inside").select("node", "block").distinct().join(done, ["node", "block"], "left_anti"), "fresh")
+    return done.select("node").distinct()
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _bounds(hops: DataFrame, blocks: int) -> np.ndarray:
+    """The last node of each block but the last one; a node that stands there more than once has several blocks."""
+    shares = [F.lit(i / blocks) for i in range(1, blocks)]
+    found = hops.agg(F.percentile_approx("node", F.array(shares), max(10_000, 10 * blocks)).alias("b")).first()["b"] if shares else []
+    return np.array(found, dtype="int64")
+
+
+def _homes(nodes: pd.Series | np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first block of each node and the number of its blocks, which follow each other."""
+    first = np.searchsorted(bounds, nodes, "left")
+    return first, np.maximum(np.searchsorted(bounds, nodes, "right") - first, 1)
+
+
+def _at_homes(nodes: np.ndarray, bounds: np.ndarray) -> pd.DataFrame:
+    """(node, block): every block of every node."""
+    first, many = _homes(nodes, bounds)
+    at = np.repeat(np.arange(len(nodes)), many)
+    return pd.DataFrame({"node": nodes[at], "block": first[at] + np.arange(len(at)) - (np.cumsum(many) - many)[at]})
+
+
+def _walk_block(block: int, e: pd.DataFrame, s: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
+    """(node, block, inside): what the fresh nodes of s (node, fresh) reach inside the block, and not yet inside where that leads to other blocks."""
+    first, many = _homes(e["next"], bounds)
+    here = (first <= block) & (block < first + many)
+    out: dict = {}
+    for a, b in zip(e["node"][here], e["next"][here], strict=True):
+        out.setdefault(a, []).append(b)
+    reached = list(s["node"][s["fresh"]])
+    seen = set(s["node"])
+    for node in reached:  # grows meanwhile
+        for to in out.get(node, ()):
+            if to not in seen:
+                seen.add(to)
+                reached.append(to)
+    nodes = np.array(reached, dtype="int64")
+    away = e[~here | (many > 1)]
+    left = _at_homes(away["next"][away["node"].isin(nodes)].drop_duplicates().to_numpy(dtype="int64"), bounds)
+    return pd.concat([pd.DataFrame({"node": nodes, "block": block, "inside": True}), left[left["block"] != block].assign(inside=False)])
+
+
 def reach_paths(edges: DataFrame, src: str, dst: str, source: int, names: DataFrame, max_depth: int = DEFAULT_DEPTH, target: int | None = None) -> DataFrame:
     """(node, depth, path, rank): one shortest path to each node reached, the source left out.
 
