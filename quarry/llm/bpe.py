@@ -5,8 +5,10 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +17,11 @@ from quarry.llm.shared import HELD, trim, tune
 
 #: Pieces longer than this many characters are not memoised; the transducer streams over them.
 MEMO_CHARS = 48
-#: Bounds of the tables; the pieces and pairs of the last generation stay until as many new ones have come.
-MEMO_PIECES = 400_000
-MAX_PAIRS = 250_000
+#: Bounds of the tables. Pieces met again have a dictionary, whose last generation stays until as many new ones have come;
+#: pieces met once, and what is known of pairs, have one slot each by their hash, which the next one of that slot takes over.
+MEMO_PIECES = 60_000
+RARE_SLOTS = 1 << 18
+PAIR_SLOTS = 500_009
 MAX_STATES = 60_000
 #: Transitions are kept from states of fewer pending bytes, which many pieces pass; later ones are simulated.
 SHARED = 4
@@ -77,8 +81,7 @@ class Transducer:
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.sizes = {rank: len(token) for token, rank in ranks.items()}
         self.starts = {token[:n] for token in ranks for n in range(1, len(token))}
-        self.pairs: dict[int, bool] = {}
-        self.old_pairs: dict[int, bool] = {}
+        self.pairs = array("q", [-1 << 63]) * PAIR_SLOTS  # twice a key, and one more if it is stable
         self._reset()
 
     def _reset(self) -> None:
@@ -86,19 +89,15 @@ class Transducer:
         self.start = _State(None, b"", [None], [])
 
     def _stable(self, key: int) -> bool:
-        """Whether two tokens (or one: its id less 2**32) stay as they are; not yet in self.pairs."""
-        known = self.old_pairs.get(key)
-        if known is None:
-            both = [key + (1 << 32)] if key < 0 else [key >> 32, key & 0xFFFFFFFF]
-            known = merge_by_rank(self.ranks, b"".join(self.tokens[t] for t in both)) == both
-        if len(self.pairs) >= MAX_PAIRS:
-            self.old_pairs, self.pairs = self.pairs, {}
-        self.pairs[key] = known
+        """Whether two tokens (or one: its id less 2**32) stay as they are; not in self.pairs."""
+        both = [key + (1 << 32)] if key < 0 else [key >> 32, key & 0xFFFFFFFF]
+        known = merge_by_rank(self.ranks, b"".join(self.tokens[t] for t in both)) == both
+        self.pairs[key % PAIR_SLOTS] = key << 1 | known
         return known
 
     def _column(self, previous, pending: bytes, last: list, live: list) -> list:
         """Add the last token of the whole of `pending` to `last`; give the positions that stay live."""
-        end, token_of, stable, on = len(pending), self.ranks.get, self.pairs.get, []
+        end, token_of, pairs, on = len(pending), self.ranks.get, self.pairs, []
         found = None
         for at in (*live, end - 1):
             if at and last[at] is None:  # no encoding after the emitted token ends here
@@ -107,8 +106,8 @@ class Transducer:
             if found is None and (token := token_of(part)) is not None:
                 before = last[at] if at else previous
                 key = token - (1 << 32) if before is None else before << 32 | token
-                known = stable(key)
-                if known or (known is None and self._stable(key)):
+                slot = pairs[key % PAIR_SLOTS]
+                if slot & 1 if slot >> 1 == key else self._stable(key):
                     found = token
             if part in self.starts:
                 on.append(at)
@@ -197,15 +196,24 @@ class Encoder:
         self.all = regex.compile(pattern, regex.V0).findall
         self.memo: dict[str, str] = {}
         self.old_memo: dict[str, str] = {}
+        self.rare: list[bytes] = [b""] * RARE_SLOTS  # UTF-8 of a piece, a byte that UTF-8 never has, ids
 
     def _piece(self, piece: str) -> str:
         ids = self.old_memo.get(piece)
         if ids is None:
-            ids = ",".join(map(str, self.transducer.encode(piece.encode())))
-        if len(piece) <= MEMO_CHARS:
-            if len(self.memo) >= MEMO_PIECES:
-                self.old_memo, self.memo = self.memo, {}
-            self.memo[piece] = ids
+            data = piece.encode()
+            if len(piece) > MEMO_CHARS:
+                return ",".join(map(str, self.transducer.encode(data)))
+            at, own = hash(piece) % RARE_SLOTS, data + b"\xff"
+            held = self.rare[at]
+            if not held.startswith(own):
+                ids = ",".join(map(str, self.transducer.encode(data)))
+                self.rare[at] = own + ids.encode()
+                return ids
+            ids = held[len(own) :].decode()
+        if len(self.memo) >= MEMO_PIECES:
+            self.old_memo, self.memo = self.memo, {}
+        self.memo[piece] = ids
         return ids
 
     def encode_joined(self, text: str) -> str:
@@ -299,9 +307,9 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids
 
         encoder, tokens = _on_worker(shipped, pattern)
         for batch in batches:
-            counts, lists, one, two = [], [], [], []
-            for value in batch.column(batch.num_columns - 1).to_pylist():
-                joined = encoder.encode_joined(value or "")
+            counts, flat, one, two = [], array("i"), [], []
+            for value in batch.column(batch.num_columns - 1):
+                joined = encoder.encode_joined(value.as_py() or "")
                 parts = joined.split(",") if joined else []
                 digest = hashlib.sha256()
                 for piece in decode_stream(tokens, parts):
@@ -310,8 +318,11 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids
                 one.append(hashlib.sha256(joined.encode()).hexdigest())
                 two.append(digest.hexdigest())
                 if ids:
-                    lists.append(list(map(int, parts)))
-            made = [pa.array(counts, pa.int64()), *([pa.array(lists, pa.list_(pa.int32()))] if ids else []), pa.array(one, pa.string()), pa.array(two, pa.string())]
+                    flat.extend(map(int, parts))
+            made = [pa.array(counts, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())]
+            if ids:
+                ends = np.cumsum([0, *counts]).astype(np.int32)
+                made.insert(1, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(flat, np.int32))))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[f"c{i}" for i in range(len(others))] + new)
 
     kinds = ["long", *["array<int>"] * ids, "string", "string"]
