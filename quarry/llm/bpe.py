@@ -7,6 +7,7 @@ import gc
 import hashlib
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import regex
@@ -23,10 +24,10 @@ MEMO_PIECES = 60_000
 RARE_SLOTS = 1 << 18
 PAIR_SLOTS = 500_009
 MAX_STATES = 60_000
-#: Transitions are kept from states of fewer pending bytes, which many pieces pass; later ones are simulated.
-SHARED = 4
-#: Bytes that wait before the transducer looks for a token to emit.
-LOOKAHEAD = 16
+#: Bytes of a piece that the transducer reads before it looks, and looks again, for tokens to give out.
+SETTLE = 4096
+#: The rank of what is no token.
+NONE = 1 << 60
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -34,35 +35,40 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def merge_by_rank(ranks: dict[bytes, int], text: bytes) -> list[int]:
-    """Plain BPE of a short string: join the adjacent pair of lowest rank, leftmost first, until none can be joined."""
-    none = 1 << 60
+def _merges(ranks: dict[bytes, int], text: bytes) -> Iterator[tuple[int, list[bytes]]]:
+    """Plain BPE of a short string, merge by merge: the rank of the next one and the parts before it; at last NONE and the parts that stay."""
     of = ranks.get
     parts = [text[i : i + 1] for i in range(len(text))]
-    joins = [of(text[i : i + 2], none) for i in range(len(text) - 1)]
-    while joins and (rank := min(joins)) != none:
+    joins = [of(text[i : i + 2], NONE) for i in range(len(text) - 1)]
+    while joins and (rank := min(joins)) != NONE:
+        yield rank, parts
         at = joins.index(rank)
         parts[at : at + 2] = [parts[at] + parts[at + 1]]
         del joins[at]
         if at:
-            joins[at - 1] = of(parts[at - 1] + parts[at], none)
+            joins[at - 1] = of(parts[at - 1] + parts[at], NONE)
         if at < len(joins):
-            joins[at] = of(parts[at] + parts[at + 1], none)
+            joins[at] = of(parts[at] + parts[at + 1], NONE)
+    yield NONE, parts
+
+
+def merge_by_rank(ranks: dict[bytes, int], text: bytes) -> list[int]:
+    """Plain BPE of a short string: join the adjacent pair of lowest rank, leftmost first, until none can be joined."""
+    *_, (_, parts) = _merges(ranks, text)
     return [ranks[p] for p in parts]
 
 
 class _State:
-    """Pending bytes after the last emitted token.
+    """The positions from which a token may be under way, as one string: the longest end of what was read that begins a token.
 
-    last: for each of their prefixes, the last token of its encoding. live: positions from which a token may
-    still be under way, as what follows them begins some longer token.
+    ends: (size, token) of the tokens of two bytes and more that end here, longest first. byte: the token of the last byte.
     """
 
-    __slots__ = ("last", "live", "next", "pending", "previous")
+    __slots__ = ("byte", "ends", "next", "suffix")
 
-    def __init__(self, previous: int | None, pending: bytes, last: list, live: list):
-        self.previous, self.pending, self.last, self.live = previous, pending, last, live
-        self.next: dict[int, tuple[tuple[int, ...], _State]] = {}
+    def __init__(self, suffix: bytes, ends: tuple[tuple[int, int], ...], byte: int | None):
+        self.suffix, self.ends, self.byte = suffix, ends, byte
+        self.next: dict[int, _State] = {}
 
 
 class Transducer:
@@ -70,10 +76,11 @@ class Transducer:
 
     A sequence of tokens is the BPE encoding of its bytes exactly if each token and each adjacent pair of
     tokens encodes to itself: merges inside two neighbours run in the same order with or without the rest.
-    So each prefix of a text has one last token, and a state needs only the last emitted token and the bytes
-    after it. Once LOOKAHEAD bytes are pending, a token is emitted as soon as every position from which a
-    token may be under way leads back to it. When MAX_STATES are held, all are dropped; the rest of the piece
-    that overflowed is simulated without keeping states, so memory does not grow with a piece's length.
+    So each prefix of a text has one last token: of those that end there, the one that stays as it is behind the
+    last token of the prefix before it. A state is the set of positions from which a token may be under way, and
+    names the tokens that may end; which of them does is read off the pairs, and the last one left needs no look.
+    From time to time the tokens are given out that all positions lead back to, so beside the ids memory does not
+    grow with a piece's length. When MAX_STATES are held, all are dropped and made anew as they are met.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
@@ -81,110 +88,100 @@ class Transducer:
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.sizes = {rank: len(token) for token, rank in ranks.items()}
         self.starts = {token[:n] for token in ranks for n in range(1, len(token))}
-        self.pairs = array("q", [-1 << 63]) * PAIR_SLOTS  # twice a key, and one more if it is stable
+        self.pairs = array("q", [-1]) * PAIR_SLOTS  # twice a key, and one more if it is stable
+        self.edges: dict[int, tuple[tuple[int, ...], tuple[bytes, ...], tuple[bytes, ...]]] = {}
+        self.states: dict[bytes, _State] = {}
         self._reset()
 
     def _reset(self) -> None:
-        self.states: dict[tuple, _State] = {}
-        self.start = _State(None, b"", [None], [])
+        for state in self.states.values():  # states lead to each other
+            state.next.clear()
+        self.states = {}
+        self.start = _State(b"", (), None)
+
+    def _edges(self, token: int) -> tuple[tuple[int, ...], tuple[bytes, ...], tuple[bytes, ...]]:
+        """Of the merges that make a token: their ranks, and the first and the last part before each."""
+        steps = [(rank, parts[0], parts[-1]) for rank, parts in _merges(self.ranks, self.tokens[token])]
+        made = self.edges[token] = tuple(zip(*steps, strict=True))
+        return made
 
     def _stable(self, key: int) -> bool:
-        """Whether two tokens (or one: its id less 2**32) stay as they are; not in self.pairs."""
-        both = [key + (1 << 32)] if key < 0 else [key >> 32, key & 0xFFFFFFFF]
-        known = merge_by_rank(self.ranks, b"".join(self.tokens[t] for t in both)) == both
-        self.pairs[key % PAIR_SLOTS] = key << 1 | known
+        """Whether two tokens stay as they are: no merge across their border comes first while both are made; not in self.pairs."""
+        left_ranks, _, left = self.edges.get(key >> 32) or self._edges(key >> 32)
+        right_ranks, right, _ = self.edges.get(key & 0xFFFFFFFF) or self._edges(key & 0xFFFFFFFF)
+        of, i, j = self.ranks.get, 0, 0
+        while True:
+            across, one, two = of(left[i] + right[j], NONE), left_ranks[i], right_ranks[j]
+            known = across >= one or across > two  # of equal ranks the leftmost is merged
+            if not known or one == two == NONE:
+                break
+            if one <= two:
+                i += 1
+            else:
+                j += 1
+        self.pairs[key % len(self.pairs)] = key << 1 | known
         return known
 
-    def _column(self, previous, pending: bytes, last: list, live: list) -> list:
-        """Add the last token of the whole of `pending` to `last`; give the positions that stay live."""
-        end, token_of, pairs, on = len(pending), self.ranks.get, self.pairs, []
-        found = None
-        for at in (*live, end - 1):
-            if at and last[at] is None:  # no encoding after the emitted token ends here
-                continue
-            part = pending[at:]
-            if found is None and (token := token_of(part)) is not None:
-                before = last[at] if at else previous
-                key = token - (1 << 32) if before is None else before << 32 | token
-                slot = pairs[key % PAIR_SLOTS]
-                if slot & 1 if slot >> 1 == key else self._stable(key):
-                    found = token
-            if part in self.starts:
-                on.append(at)
-        last.append(found)
-        return on
-
-    def _emit(self, previous, pending: bytes, last: list, live: list) -> tuple[list[int], int | None, bytes, list, list]:
-        """Tokens that are settled, and what is left to wait."""
+    def _step(self, state: _State, byte: int) -> _State:
+        """The state after one more byte."""
+        suffix, ranks = state.suffix + bytes((byte,)), self.ranks
+        while len(suffix) > 1 and suffix not in self.starts and suffix not in ranks:
+            suffix = suffix[1:]
+        got = self.states.get(suffix)
+        if got is None:
+            if len(self.states) >= MAX_STATES:
+                self._reset()
+            parts = [suffix[at:] for at in range(len(suffix) - 1)]
+            ends = tuple((len(part), ranks[part]) for part in parts if part in ranks and merge_by_rank(ranks, part) == [ranks[part]])
+            got = self.states[suffix] = _State(suffix, ends, ranks[suffix[-1:]])
+        state.next[byte] = got
+        return got
+
+    def _back(self, last: list[int], end: int) -> list[int]:
+        """The tokens that lead to a position."""
         out = []
-        while len(pending) >= LOOKAHEAD:
-            first = {self._first(last, at) for at in (*live, len(pending))}
-            if len(first) != 1 or None in first:
-                break
-            (token,) = first
-            out.append(token)
-            previous, rest, live, last = token, pending[self.sizes[token] :], [], [None]
-            pending = b""
-            for at in range(len(rest)):  # the prefixes anew, after the emitted token
-                pending = rest[: at + 1]
-                live = self._column(previous, pending, last, live)
-        return out, previous, pending, last, live
-
-    def _step(self, state: _State, byte: int) -> tuple[tuple[int, ...], _State]:
-        pending, last = state.pending + bytes((byte,)), state.last.copy()
-        live = self._column(state.previous, pending, last, state.live)
-        out, previous, pending, last, live = self._emit(state.previous, pending, last, live)
-        key = (previous, pending)
-        known = self.states.get(key)
-        if known is None:
-            known = self.states[key] = _State(previous, pending, last, live)
-        return tuple(out), known
-
-    def _first(self, last: list, at: int) -> int | None:
-        """The first pending token of the encoding that ends at a position; None at the first one."""
-        token = None
-        while at:
-            token = last[at]
-            at -= self.sizes[token]
-        return token
+        while end:
+            out.append(last[end])
+            end -= self.sizes[last[end]]
+        return out[::-1]
+
+    def _settled(self, last: list[int], live: int) -> int:
+        """The farthest position that the end and the `live` positions before it all lead back to."""
+        ends = set(range(len(last) - 1 - live, len(last)))
+        while len(ends) > 1:
+            end = max(ends)
+            ends.remove(end)
+            ends.add(end - self.sizes[last[end]])
+        return ends.pop()
 
     def encode(self, data: bytes) -> list[int]:
         """The ids of one piece of text."""
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        if len(self.states) > MAX_STATES:
-            self._reset()
         out: list[int] = []
-        state, n = self.start, 0
-        shared = SHARED if len(data) <= MEMO_CHARS else len(data)  # long pieces repeat themselves
-        for byte in data:
-            got = state.next.get(byte)
-            if got is None:
-                if len(state.pending) >= shared:
-                    break
-                if len(self.states) > MAX_STATES:
-                    self._reset()
-                    break
-                got = state.next[byte] = self._step(state, byte)
-            if got[0]:
-                out += got[0]
-            state = got[1]
-            n += 1
-        previous, pending, last, live = state.previous, state.pending, state.last, state.live
-        if n < len(data):
-            last = last.copy()
-            for at in range(n, len(data)):
-                pending += data[at : at + 1]
-                live = self._column(previous, pending, last, live)
-                if len(pending) >= LOOKAHEAD:
-                    more, previous, pending, last, live = self._emit(previous, pending, last, live)
-                    out += more
-        tail, at = [], len(pending)
-        while at > 0:
-            tail.append(last[at])
-            at -= self.sizes[last[at]]
-        return out + tail[::-1]
+        state, last, pairs, slots, at = self.start, [-1], self.pairs, len(self.pairs), 0
+        while at < len(data):
+            room = max(SETTLE, len(last))
+            for byte in data[at : at + room]:
+                state = state.next.get(byte) or self._step(state, byte)
+                for size, token in state.ends:
+                    before = last[-size]
+                    if before < 0:  # the piece begins with it
+                        break
+                    key = before << 32 | token
+                    slot = pairs[key % slots]
+                    if slot & 1 if slot >> 1 == key else self._stable(key):
+                        break
+                else:
+                    token = state.byte
+                last.append(token)
+            at += room
+            if at < len(data):
+                end = self._settled(last, len(state.suffix))
+                out += self._back(last, end)
+                del last[:end]
+        return out + self._back(last, len(last) - 1)
 
 
 class Encoder:
@@ -264,13 +261,9 @@ class Utf8Stream:
 
 def decode_stream(tokens: dict, ids: Iterable, chunk: int = 4096) -> Iterator[str]:
     """The text of ids, piece by piece, in bounded memory."""
-    stream, part = Utf8Stream(), []
-    for i in ids:
-        part.append(tokens[i])
-        if len(part) == chunk:
-            yield stream.push(b"".join(part))
-            part = []
-    yield stream.push(b"".join(part))
+    stream, rest = Utf8Stream(), map(tokens.__getitem__, ids)
+    while part := b"".join(islice(rest, chunk)):
+        yield stream.push(part)
     yield stream.close()
 
 

@@ -1,6 +1,7 @@
 """The encoder's tables: bounded in bytes, and right when other entries take over a slot."""
 
 import random
+import time
 import tracemalloc
 
 import pytest
@@ -44,3 +45,40 @@ def test_token_ids_of_null_and_empty_texts(spark):
     rows = spark.createDataFrame([(0, None), (1, "a b"), (2, ""), (3, "c")], "doc_id long, text string")
     got = {r["doc_id"]: (r["n_tokens"], len(r["token_ids"])) for r in bpe.bpe_encode(rows, *bpe.public_ranks()).collect()}
     assert got == {0: (0, 0), 1: (2, 2), 2: (0, 0), 3: (1, 1)}
+
+
+def test_invented_words_cost_less_than_merging_each_twice(public):
+    """CPU time of the transducer on words it meets once, against plain merges of the same words; the best of three."""
+    ranks, rng = public[0], random.Random(1)
+    parts = "ein ach sch erk eit ber lich über be nacht öpf stß ung au er keit ver tz zu ge te ch pf".split()
+    words = list({(" " + "".join(rng.choices(parts, k=rng.randint(2, 4)))).encode() for _ in range(20_000)} - ranks.keys())
+    shares = []
+    for _ in range(3):
+        machine = bpe.Transducer(ranks)
+        begin = time.process_time()
+        got = [machine.encode(w) for w in words]
+        middle = time.process_time()
+        assert got == [bpe.merge_by_rank(ranks, w) for w in words]
+        shares.append((middle - begin) / (time.process_time() - middle))
+    assert min(shares) < 1.5
+
+
+def test_pairs_are_stable_if_plain_merges_leave_them(public):
+    ranks, rng = public[0], random.Random(4)
+    machine = bpe.Transducer(ranks)
+    own = [rank for token, rank in ranks.items() if bpe.merge_by_rank(ranks, token) == [rank]]
+    some = rng.sample(own, 300)
+    for one, two in [(rng.choice(own), rng.choice(own)) for _ in range(5000)] + [(a, b) for a in some[:70] for b in some[:70]] + [(a, a) for a in some]:
+        assert machine._stable(one << 32 | two) == (bpe.merge_by_rank(ranks, machine.tokens[one] + machine.tokens[two]) == [one, two])
+
+
+def test_long_pieces_whatever_is_given_out_or_dropped_meanwhile(public, monkeypatch):
+    ranks, rng = public[0], random.Random(6)
+    pieces = [bytes(rng.choices(letters, k=700)) for letters in (b"ab", b"etaoin", bytes(range(256)), "éñß漢字".encode())]
+    pieces += [b"a" * 3000, b" " * 3000, b"=-" * 900, b"the" * 500]
+    for settle, states in ((1, 60_000), (7, 60_000), (64, 3), (4096, 1)):
+        monkeypatch.setattr(bpe, "SETTLE", settle)
+        monkeypatch.setattr(bpe, "MAX_STATES", states)
+        machine = bpe.Transducer(ranks)
+        for piece in pieces:
+            assert machine.encode(piece) == bpe.merge_by_rank(ranks, piece) and len(machine.states) <= states
