@@ -23,6 +23,8 @@ STEP, STEP_WORDS = 4, 12
 WIDTHS = (2, 4)
 #: Items of fewer words are looked up word for word.
 LEAST_WORDS = 5
+#: Bits of the signatures that tell which buckets a step's or an item's words have.
+SIGNATURE = 1024
 
 
 @dataclass(frozen=True)
@@ -82,13 +84,13 @@ def document_frequencies(docs: DataFrame, text: str, live: np.ndarray) -> tuple[
     def run(batches):
         import pyarrow as pa
 
-        rows = Buckets(live)
+        row_of = Buckets(live).__getitem__
         total, n = np.zeros(len(live) + 1, dtype=np.int64), 0
         for batch in batches:
             n += len(batch)
             for value in batch.column(0).to_pylist():
                 if value:
-                    total[list({rows[w] for w in set(value.translate(FOLD).split())})] += 1
+                    total[list(set(map(row_of, set(value.translate(FOLD).split()))))] += 1
         some = np.flatnonzero(total[:-1])
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[some, -1]), pa.array(np.r_[total[some], n])], names=["w", "n"])
 
@@ -212,6 +214,9 @@ class Index:
             while len(t) >= (STEP_WORDS if step == STEP else STEP_WORDS * step):
                 step *= 4
             by_step.setdefault(step, []).append(j)
+        #: Bits of each item's words, and how many of them a leak shows at least.
+        self.signatures = self.signed(rows.none, [list({rows[w] for w in d} - {rows.none}) for d in self.sets])
+        self.least_bits = np.ceil(self.least).astype(int) - [len(d) for d in self.sets] + np.bitwise_count(self.signatures).sum(1, dtype=int)
         #: (step, items, their vectors, reach): items are searched in windows that fit their length.
         self.scales = []
         for step, own in sorted(by_step.items()):
@@ -219,6 +224,38 @@ class Index:
             items /= np.maximum(np.linalg.norm(items, axis=1, keepdims=True), 1e-12)
             self.scales.append((step, np.array(own), items, max(len(texts[j]) for j in own) // 2))
 
+    @staticmethod
+    def signed(none: int, at: list[list[int]] | np.ndarray) -> np.ndarray:
+        """The signatures of lists of rows (or of the lines of a matrix of rows)."""
+        bits = np.zeros((len(at), SIGNATURE + 1), dtype=bool)
+        if isinstance(at, np.ndarray):
+            bits[np.arange(len(at))[:, None], np.where(at == none, SIGNATURE, at % SIGNATURE)] = True
+        else:
+            for i, row in enumerate(at):
+                bits[i, np.array(row, dtype=np.int64) % SIGNATURE] = True
+        return np.packbits(bits[:, :SIGNATURE], axis=1).view(np.uint64)
+
+    def near_items(self, at: np.ndarray, begin: int, stop: int, step: int, reach: int) -> dict[int, np.ndarray]:
+        """By width, for the windows from the steps of at[begin:stop]: the signature of all steps that `reach` words around one touch."""
+        around = -(-reach // step)
+        low, high = max(0, begin // step - around), min(len(at) // step, -(-stop // step) + around)
+        steps = self.signed(len(self.vectors) - 1, at[low * step : high * step].reshape(-1, step))
+        steps = np.pad(steps, ((around - (begin // step - low), around + max(WIDTHS)), (0, 0)))
+        out = {}
+        for width in WIDTHS:
+            n = len(steps) - 2 * around - width + 1
+            out[width] = np.bitwise_or.reduce([steps[i : i + n] for i in range(2 * around + width)])
+        return out
+
+    def sharing(self, signatures: np.ndarray, places: np.ndarray, items: np.ndarray, chunk: int = 1 << 16) -> np.ndarray:
+        """Which pairs of places and items may share as many words as a leak does; none that does is left out."""
+        out = [np.zeros(0, dtype=np.int64)]
+        for a in range(0, len(places), chunk):
+            own = items[a : a + chunk]
+            shared = np.bitwise_count(signatures[places[a : a + chunk]] & self.signatures[own]).sum(1, dtype=int)
+            out.append(a + np.flatnonzero(shared >= self.least_bits[own]))
+        return np.concatenate(out)
+
     def windows(self, at: np.ndarray, step: int, items: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
         """(step, item, cosine, width) of all windows whose cosine reaches the threshold. at: rows of words, in whole steps."""
         steps = self.vectors[at].reshape(-1, step, self.vectors.shape[1]).sum(1)
@@ -268,7 +305,7 @@ class Index:
     def _search(self, held, piece: int = 1 << 18):
         rows, sets, least = self.rows, self.sets, self.least
         none = rows.none
-        found = [[rows[w] for w in split] for _, split in held]
+        found = [list(map(rows.__getitem__, split)) for _, split in held]
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
         for step, own, items, reach in self.scales:
             overlap = step * (max(WIDTHS) - 1)
@@ -278,10 +315,13 @@ class Index:
                 first.append(len(at) // step)
                 at += row
                 at += [none] * (overlap + -len(row) % step)
-            at_, first_, own = np.array(at), np.array(first), own.tolist()
+            at_, first_, own_, own = np.array(at), np.array(first), own, own.tolist()
             whole = max(step, piece // step * step)
             for begin in range(0, len(at_), whole):
+                signatures = self.near_items(at_, begin, min(len(at_), begin + whole + overlap), step, reach)
                 for place_, item, cosine, width in self.windows(at_[begin : begin + whole + overlap], step, items):
+                    some = self.sharing(signatures[width], place_, own_[item])  # most windows lack the words of an item
+                    place_, item, cosine = place_[some], item[some], cosine[some]
                     place_ = place_ + begin // step
                     text = np.searchsorted(first_, place_, "right") - 1
                     start = (place_ - first_[text]) * step
